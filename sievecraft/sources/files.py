@@ -19,6 +19,16 @@ from ..functions.scalars import blob_path, safe_key
 IMAGE_SUFFIXES = ("jpg", "jpeg", "png", "gif", "webp", "bmp", "tif", "tiff", "heic")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def plain(path: Column) -> Column:
+    """A path as Spark's sources agree on it: local files without their scheme, which sources spell in two ways."""
+    return F.regexp_replace(path, r"^file:/+", "/")
+
+
 def suffix_of(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
 
@@ -26,13 +36,15 @@ def suffix_of(path: Column) -> Column:
 def scan_images(spark: SparkSession, root: str, suffixes: tuple[str, ...] = IMAGE_SUFFIXES) -> DataFrame:
     """(path, length, content) of the image files under ``root``, any depth."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    return files.where(suffix_of(F.col("path")).isin(*suffixes)).select("path", "length", "content")
+    return files.where(suffix_of(F.col("path")).isin(*suffixes)).select(plain(F.col("path")).alias("path"), "length", "content")
 
 
 def decode_images(spark: SparkSession, root: str) -> DataFrame:
     """(path, width, height, bgr) of the images that decode; ``bgr`` holds the rows one after the other."""
+    if not exists(spark, root):
+        return spark.createDataFrame([], "path string, width int, height int, channels int, bgr binary")
     found = spark.read.format("image").option("dropInvalid", True).option("recursiveFileLookup", True).load(root).select("image.*")
-    return found.where((F.col("nChannels") >= 1) & (F.col("height") > 0)).select(F.col("origin").alias("path"), "width", "height", F.col("nChannels").alias("channels"), F.col("data").alias("bgr"))
+    return found.where((F.col("nChannels") >= 1) & (F.col("height") > 0)).select(plain(F.col("origin")).alias("path"), "width", "height", F.col("nChannels").alias("channels"), F.col("data").alias("bgr"))
 
 
 def to_rgb(data: bytes, width: int, height: int, channels: int) -> np.ndarray:
@@ -42,8 +54,9 @@ def to_rgb(data: bytes, width: int, height: int, channels: int) -> np.ndarray:
 
 def cached_blobs(spark: SparkSession, photos: DataFrame, root: str) -> DataFrame:
     """(media_key, path, content) of the keys that have a blob in the hashed folders. Hot folders don't matter: the path is the key."""
-    base = F.regexp_replace("path", r"^[a-z]+:/+", "/")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(base.alias("path"), "content")
+    if not exists(spark, root):
+        return spark.createDataFrame([], "path string, media_key string, content binary")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(plain(F.col("path")).alias("path"), "content")
     named = photos.select("media_key", blob_path(F.col("media_key"), root.removeprefix("file://").rstrip("/")).alias("path"))
     return named.join(files, "path")
 

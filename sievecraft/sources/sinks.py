@@ -41,7 +41,7 @@ def plan_moves(files: DataFrame, root: str, to: str, taken: DataFrame | None = N
     pattern = F.concat(F.lit(r"^\Q"), stem, F.lit(r"\E(?:_(\d+))?\Q"), suffix, F.lit(r"\E$"))
     folder = lambda c: F.regexp_extract(c, r"^(.*)/[^/]*$", 1)
     near = own.withColumn("_f", folder("want")).join(used.withColumn("_f", folder("_t")), "_f", "left")
-    hit = F.when(F.expr("_t = want"), F.lit(0)).when(F.col("_t").rlike(pattern), F.regexp_extract("_t", r"_(\d+)(?:\.[^./]*)?$", 1).cast("int"))
+    hit = F.when(F.expr("_t = want"), F.lit(0)).when(F.rlike("_t", pattern), F.regexp_extract("_t", r"_(\d+)(?:\.[^./]*)?$", 1).cast("int"))
     rows = near.groupBy("path", "want").agg(F.collect_set(hit).alias("n"))
     free = F.when(~F.array_contains("n", 0), F.lit(0)).otherwise(F.array_min(F.array_except(F.sequence(F.lit(1), F.size("n") + 1), F.col("n"))))
     return rows.withColumn("k", free).select("path", F.when(F.col("k") == 0, F.col("want")).otherwise(F.concat(stem, F.lit("_"), F.col("k"), suffix)).alias("dest"))
