@@ -64,9 +64,13 @@ def presence(text: str) -> np.ndarray:
     return np.flatnonzero(flags)
 
 
+def has_letter(text: str) -> bool:
+    return any(m[0].isalpha() for m in _LETTER.finditer(text))
+
+
 def score_batch(model: Model, texts: list[str | None]) -> tuple[list[str], list[float]]:
     """Languages and scores: the softmax of the margins."""
-    rows = [presence(t) if t and model.languages and _LETTER.search(t) else None for t in texts]
+    rows = [presence(t) if t and model.languages and has_letter(t) else None for t in texts]
     known = [k for k, r in enumerate(rows) if r is not None]
     names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
     if known:

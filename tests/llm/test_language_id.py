@@ -44,7 +44,7 @@ def test_scores_are_the_kernel_expansion():
 
 
 def test_batches_agree_with_single_texts(documents):
-    texts = [t for _, t, _, _ in corpus(30)] + [None, "", "123 !?"]
+    texts = [t for _, t, _, _ in corpus(30)] + [None, "", "123 !? ½²"]
     rows = [li.presence(t) for t in texts[:30]]
     model = li.fit(rows, [x for _, _, x, _ in corpus(30)])
     names, scores = li.score_batch(model, texts)
