@@ -47,12 +47,14 @@ def dry_run(groups: DataFrame, decisions: DataFrame, photos: DataFrame, corrupt_
 
 
 def payload(items: DataFrame, run_id: str, created_at: str | None = None) -> DataFrame:
-    """One row (value): the export as JSON. Items are written in key order; meant for one file that a person uploads."""
-    rows = F.sort_array(F.collect_list(F.struct(*items.columns)))
-    head = [F.lit(run_id).alias("run_id")] + ([F.lit(created_at).alias("created_at"), F.count("*").alias("item_count")] if created_at else [])
-    return items.agg(F.to_json(F.struct(*head, rows.alias("items"))).alias("value")) if not created_at else items.agg(F.count("*").alias("n"), rows.alias("items")).select(
-        F.to_json(F.struct(F.lit(run_id).alias("run_id"), F.lit(created_at).alias("created_at"), F.col("n").alias("item_count"), "items")).alias("value")
-    )
+    """One row (value): the export as JSON, with a time and a count if a time is given. Items are written in key order;
+    this is one file that a person uploads, so it is one row.
+    """
+    whole = items.agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct(*items.columns))).alias("items"))
+    head = [F.lit(run_id).alias("run_id")]
+    if created_at:
+        head += [F.lit(created_at).alias("created_at"), F.col("n").alias("item_count")]
+    return whole.select(F.to_json(F.struct(*head, "items")).alias("value"))
 
 
 def export_trash(groups: DataFrame, decisions: DataFrame, photos: DataFrame, corrupt_flags: DataFrame, run_id: str, created_at: str) -> DataFrame:

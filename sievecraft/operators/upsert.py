@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import SOURCE_COLUMNS, STATE_COLUMNS
@@ -13,9 +13,8 @@ TEXT_FINAL = ("accepted", "rejected", "skipped")
 
 
 def last_per_key(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """The last row of each key."""
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))
-    return rows.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
+    """The last row of each key. Repeated keys are combined before the shuffle."""
+    return rows.groupBy(F.col(key).alias("_key")).agg(F.max_by(F.struct("*"), order).alias("_last")).select("_last.*")
 
 
 def upsert_photos(photos: DataFrame, items: DataFrame, order: str = "line_no") -> DataFrame:

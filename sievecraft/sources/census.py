@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,11 +52,3 @@ def flag_album_members(items: DataFrame, members: DataFrame) -> DataFrame:
     """Set ``in_album`` for keys of an album's member list."""
     known = members.select(F.col("media_key").alias("_k")).distinct()
     return items.join(known, F.col("media_key") == F.col("_k"), "left").withColumn("in_album", F.col("_k").isNotNull()).drop("_k")
-
-
-def number_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Ordinals within a partition, for sources that a single task reads."""
-    at = 0
-    for b in batches:
-        yield b.assign(line_no=range(at, at + len(b)))
-        at += len(b)
