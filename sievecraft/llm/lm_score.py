@@ -31,12 +31,14 @@ from pyspark.sql import functions as F
 from ..plans.lineage import materialise
 from .common import small_batches, utf8
 
-VOCABULARY = 1 << 20
+VOCABULARY = 1 << 18
 BACKOFF = 0.4
 #: Bigram occurrences that one group of rows holds, about.
 BUCKET = 2_000_000
 #: Words that a task gathers before it emits rows.
-CHUNK = 1_000_000
+CHUNK = 600_000
+#: Words whose ids a task remembers.
+KNOWN = 400_000
 _NULL_ID = -(1 << 63)
 #: Ids of the start mark and of words outside the vocabulary; the vocabulary follows.
 _START, _OTHER, _FIRST = 0, 1, 2
@@ -106,7 +108,9 @@ def vocabulary(rows: DataFrame, limit: int = VOCABULARY, min_count: int = 2) ->
         least = counts.where(F.col("n") >= low).agg(F.percentile_approx("n", 1 - 0.9 * limit / kept)).first()[0]
         least = max(least, low + 1)
         kept = counts.where(F.col("n") >= least).count()
+    small_batches(counts.sparkSession, 10_000)  # numbers only
     known = counts.where(F.col("n") >= least).toPandas().sort_values("hash", kind="stable")
+    small_batches(counts.sparkSession)
     n_docs = rows.select("id").distinct().count()
     inside = known["n"].to_numpy(np.int64)
     return Vocabulary(known["hash"].to_numpy(np.int64), np.concatenate(([n_docs, whole - inside.sum()], inside)).astype(np.int64), int(whole))
@@ -121,7 +125,7 @@ class _Reader:
     def keys(self, text: bytes | None) -> np.ndarray:
         own = _words(text)
         ids = self.ids
-        if len(ids) > 2_000_000:
+        if len(ids) > KNOWN:
             ids.clear()
         if new := [w for w in dict.fromkeys(own) if w not in ids]:
             found = np.array([xxhash.xxh3_64_intdigest(w) for w in new], dtype=np.uint64).view(np.int64)
@@ -135,6 +139,8 @@ class _Reader:
 
 def _by_bucket(keys: np.ndarray, n: int, *more: np.ndarray) -> Iterator[tuple[int, np.ndarray, list[np.ndarray]]]:
     """(bucket, sorted keys, their other values) for each bucket there is."""
+    if not len(keys):
+        return
     bucket = _bucket(keys, n)
     order = np.lexsort((keys, bucket))
     bucket, keys, more = bucket[order], keys[order], [x[order] for x in more]
