@@ -5,7 +5,8 @@ cost 1, and so on up to ``epochs`` times (convex repetition costs); sources dema
 on the driver, over patterns and sources only, whose number is checked. Each pattern then takes whole epochs, and the
 rest by a seeded order of its documents, cut by a histogram of hash prefixes: no pattern is ever sorted in one task.
 
-Nulls: a null text has size 0, a null source is a source of its own, ranked last. Repeated rows of an id share a rank
+Nulls: a null text has size 0, a null source is a source of its own, ranked last; without sources a document is never
+taken. Repeated rows of an id share a rank
 and a fate. Documents of size 0 are taken 0 times. An empty table gives an empty result.
 """
 
@@ -136,7 +137,7 @@ def _fill(rows: pd.DataFrame) -> pd.DataFrame:
 def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sources: Column | None = None, weights: tuple[float, ...] = WEIGHTS, epochs: int = 3, seed: int = 17) -> Mix:
     """Mix documents to the sources' target shares. ``sources``: array of the sources a document belongs to."""
     spark = docs.sparkSession
-    own = F.array(F.col("source")) if sources is None else sources
+    own = F.array(F.col("source")) if sources is None else F.coalesce(sources, F.array().cast("array<string>"))
     order = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col).cast("string")), F.lit(1 << _BITS))
     rows = docs.select(F.col(id_col).alias("id"), count_words(F.col(text)).alias("size"), F.to_json(F.sort_array(F.array_distinct(own))).alias("key"), order.alias("rank"))
     rows = materialise(rows, "mix-sizes")
