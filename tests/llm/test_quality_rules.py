@@ -76,3 +76,9 @@ def test_odd_rows_and_empty_tables(odd, empty):
 def test_short_texts(documents, n):
     r = q.add_counts(documents([(1, " ".join(["x"] * n), "en", "s")])).collect()[0]
     assert (r["n_words"], r["n_repeat_words"]) == (n, n if n > 3 else 0)
+
+
+def test_filter_stays_above_the_counts(documents):
+    """Pushed below, it would count every word from all words again."""
+    plan = q.keep_good(documents(host(1, 95, 100)))._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" in plan and not any("Filter" in line and "split(" in line for line in plan.splitlines())
