@@ -78,67 +78,83 @@ class Model:
         return np.clip(np.interp(self.trees.margin(x), self.scores, self.chances), 0.0, 1.0)
 
 
-def features(text: str, lexicon: Lexicon) -> list[float]:
-    """One row of NAMES."""
-    raw = _TOKEN.findall(text)
-    n = max(1, len(raw))
-    strong = weak = stem = insult = hidden = odd = 0
-    best = total = 0.0
-    seen, hits, yous = set(), [], []
-    known: dict[str, tuple[float, float]] = {}
-    for at, token in enumerate(raw):
+class Describer:
+    """Features of texts. What a token means is worked out once and remembered, as most tokens come again."""
+
+    #: Codes of tokens: a word of no interest, no word at all; larger ones name a row of ``known``.
+    PLAIN, NONE = 0, 1
+
+    def __init__(self, lexicon: Lexicon, remember: int = 400_000):
+        self.lexicon, self.remember = lexicon, remember
+        self.codes: dict[str, int] = {}
+        self.known: list[tuple | None] = [None, None]
+
+    def _meaning(self, raw: str) -> int:
+        found = _TOKEN.search(raw)
+        if not found:
+            return self.NONE
+        token = found[0]
         low = token.lower()
-        pair = known.get(low)
-        if pair is None:
-            plain = low if low.isalpha() else "".join(_PLAIN.findall(low))
-            pair = lexicon.odds(plain)
-            if not low.isalpha() and max(pair) <= 0:
+        whole = low.isalpha()
+        word, root = self.lexicon.odds(low if whole else "".join(_PLAIN.findall(low)))
+        odd = hidden = False
+        if not whole:
+            some = any(map(str.isalpha, low))
+            odd = some and any(map(str.isdigit, low))
+            if some and max(word, root) <= 0 and any(not c.isalpha() for c in low[1:-1]):
                 read = "".join(_PLAIN.findall(low.translate(LOOKALIKES)))
-                inner = any(c.isdigit() or not c.isalnum() for c in low[1:-1]) and any(c.isalpha() for c in low)
-                shown = lexicon.odds(read) if inner else (0.0, 0.0)
-                if max(shown) > 0 or (inner and read in _INSULTS):
-                    pair = (-1.0, max(shown))
-            known[low] = pair
-        word, root = pair
-        if not low.isalpha() and any(c.isdigit() for c in low) and any(c.isalpha() for c in low):
-            odd += 1
-        hit = False
-        if word < 0:
-            hidden += 1
-            best, total, hit = max(best, root), total + root, True
-        else:
-            top = max(word, root)
-            if word >= 3 or (word > 0 and root >= 3):
-                strong += 1
-                seen.add(low)
-                hit = True
-            elif word > 0:
-                weak += 1
-            if root >= 3:
-                stem += 1
-                seen.add(low)
-                hit = True
-            best, total = max(best, top), total + top
-        if low in _INSULTS:
-            insult += 1
-            hit = True
-        if hit:
-            hits.append(at)
-        if low in _YOU:
-            yous.append(at)
-    near = 0
-    if hits and yous:
-        spots = np.array(yous)
-        near = sum(bool(np.abs(spots - h).min() <= NEAR) for h in hits)
-    letters = sum(map(str.isalpha, text)) or 1
-    capitals = sum(map(str.isupper, text))
-    shouted = sum(1 for x in raw if len(x) > 2 and x.isupper())
-    marks = sum(text.count(c) for c in "#*$%&|<>@~^")
-    chars = max(1, len(text))
-    return [
-        strong, 100 * strong / n, len(seen), weak, 100 * weak / n, stem, 100 * stem / n, best, 100 * total / n, insult, 100 * insult / n,
-        hidden, near, 100 * len(yous) / n, capitals / letters, shouted / n, 100 * (text.count("!") + text.count("?")) / chars, 100 * marks / chars, 100 * odd / n, math.log1p(len(raw)),
-    ]
+                shown = max(self.lexicon.odds(read))
+                hidden = shown > 0 or read in _INSULTS
+                word, root = (shown, 0.0) if hidden else (word, root)
+        insult, you, shouted = low in _INSULTS, low in _YOU, len(token) > 2 and token.isupper()
+        if not (word > 0 or root > 0 or odd or hidden or insult or you or shouted):
+            return self.PLAIN
+        strong = not hidden and (word >= 3 or (word > 0 and root >= 3))
+        stem = not hidden and root >= 3
+        weak = not hidden and not strong and word > 0
+        self.known.append((low, max(word, root), strong, weak, stem, hidden, insult, you, shouted, odd))
+        return len(self.known) - 1
+
+    def _codes(self, tokens: list[str]) -> list[int]:
+        get = self.codes.get
+        out = [get(t, -1) for t in tokens]
+        if -1 in out:
+            if len(self.codes) > self.remember:
+                self.codes.clear()
+                self.known = [None, None]
+            for t in tokens:
+                if t not in self.codes:
+                    self.codes[t] = self._meaning(t)
+            out = [self.codes[t] for t in tokens]
+        return out
+
+    def __call__(self, text: str) -> list[float]:
+        """One row of NAMES."""
+        codes = self._codes(text.split())
+        n_words = len(codes) - codes.count(self.NONE)
+        n = max(1, n_words)
+        found = [(at, self.known[c]) for at, c in enumerate(codes) if c > self.NONE]
+        sums = [sum(x[k] for _, x in found) for k in range(2, 10)]
+        strong, weak, stem, hidden, insult, yous, shouted, odd = sums
+        best, total = max((x[1] for _, x in found), default=0.0), sum(x[1] for _, x in found)
+        hits = [at for at, x in found if x[2] or x[4] or x[5] or x[6]]
+        seen = {x[0] for _, x in found if x[2] or x[4]}
+        near = 0
+        if hits and yous:
+            spots = np.array([at for at, x in found if x[7]])
+            at = np.searchsorted(spots, hits)
+            left, right = spots[np.maximum(at - 1, 0)], spots[np.minimum(at, len(spots) - 1)]
+            near = int((np.minimum(np.abs(left - hits), np.abs(right - hits)) <= NEAR).sum())
+        chars = np.frombuffer(text.encode("utf-32-le", "replace"), dtype=np.uint32)
+        small = np.frombuffer(text.lower().encode("utf-32-le", "replace"), dtype=np.uint32)
+        letters = int((((chars | 32) - np.uint32(97)) < 26).sum()) + int((chars >= 0xC0).sum())
+        capitals = int((chars != small).sum()) if len(chars) == len(small) else sum(map(str.isupper, text))
+        marks = sum(text.count(c) for c in "#*$%&|<>@~^")
+        size = max(1, len(text))
+        return [
+            strong, 100 * strong / n, len(seen), weak, 100 * weak / n, stem, 100 * stem / n, best, 100 * total / n, insult, 100 * insult / n,
+            hidden, near, 100 * yous / n, capitals / max(1, letters), shouted / n, 100 * (text.count("!") + text.count("?")) / size, 100 * marks / size, 100 * odd / n, math.log1p(n_words),
+        ]
 
 
 _INSULTS, _YOU = frozenset(INSULTS), frozenset(YOU)
@@ -222,8 +238,9 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column, id_col: str = "do
     shared = docs.sparkSession.sparkContext.broadcast(lexicons)
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of = {f: Describer(x) for f, x in shared.value.items()}
         for batch in batches:
-            x = [features(t, shared.value[f]) for t, f in zip(batch["text"], batch["fold"], strict=True)]
+            x = [of[f](t) for t, f in zip(batch["text"], batch["fold"], strict=True)]
             yield pd.DataFrame({"id": batch["id"], "toxic": batch["toxic"], "fold": batch["fold"], "x": x})
 
     kind = dict(rows.dtypes)["id"]
@@ -244,8 +261,9 @@ def add_score(docs: DataFrame, model: Model, out: str = "score", text: str = "te
     @F.pandas_udf("double")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = shared.value
+        describe = Describer(own.lexicon)
         for part in parts:
-            yield pd.Series(own.score(np.array([features(t or "", own.lexicon) for t in part], dtype=float).reshape(len(part), len(NAMES))))
+            yield pd.Series(own.score(np.array([describe(t or "") for t in part], dtype=float).reshape(len(part), len(NAMES))))
 
     return docs.withColumn(out, run(F.col(text)))
 

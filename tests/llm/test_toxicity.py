@@ -39,9 +39,11 @@ def test_held_out_accuracy(spark, documents):
 
 def test_features_see_disguise_and_second_person():
     lexicon = t.Lexicon({"idiot": 5.0}, {})
-    f = dict(zip(t.NAMES, t.features("You are an 1d1ot! YOU IDIOT", lexicon), strict=True))
+    f = dict(zip(t.NAMES, t.Describer(lexicon)("You are an 1d1ot! YOU IDIOT"), strict=True))
     assert f["hidden_hits"] == 1 and f["strong_hits"] == 1 and f["near_you"] == 2 and f["shouted_share"] > 0
-    assert len(t.features("", lexicon)) == len(t.NAMES)
+    assert len(t.Describer(lexicon)("")) == len(t.NAMES)
+    one = t.Describer(lexicon, remember=1)
+    assert all(one(x) == t.Describer(lexicon)(x) for x in ("idiot you", "a b c idiot", "you idiot 1d1ot", "") * 2)
 
 
 def test_odd_rows_no_labels_and_empty_tables(spark, odd, empty):
