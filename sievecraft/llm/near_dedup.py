@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from ..plans.lineage import materialise
+from ..plans.lineage import discard, materialise
 from .common import small_batches, utf8
 
 COORDINATES = 64
@@ -263,7 +263,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, id_col:
     long_links = dealt.groupBy("token", "low", "high").applyInPandas(_block_links(percent), "a long, b long")
 
     links = materialise(first.union(short).union(long_links), "dedup-all-links")
-    final = _components(vertices, links)
+    final = materialise(_components(vertices, links), "dedup-components")
+    for done in (signed, posted, sets, first, state, open_, links):
+        discard(done)
     out = member.join(final.withColumnRenamed("id", "class_id"), "class_id", "left")
     component = F.coalesce("component", "class_id")
     return out.select(F.col("id").alias(id_col), "n_shingles", "class_id", component.alias("component_id"), (F.col("id") == component).alias("kept"))
