@@ -16,6 +16,7 @@ from sievecraft.config import EngineConfig
 from sievecraft.engine import Engine
 from sievecraft.functions.scalars import blob_path
 from sievecraft.operators import embed
+from sievecraft.operators.reports import thumb_sample
 from sievecraft.sources import files
 from sievecraft.streaming.ingest import burst_sessions, stream_census, windowed_arrivals
 
@@ -88,6 +89,8 @@ def test_from_blobs_to_restore(spark, engine, tmp_path):
     put(spark, tmp_path, {f"mk{k}": images.png(x) for k, x in enumerate(shapes, start=1)})
     assert engine.import_zips(f"file://{tmp_path}/zips") == 4
     assert engine.import_zips(f"file://{tmp_path}/zips") == 0
+    photos = engine.table("photos")
+    assert tuple(thumb_sample(photos, files.cached_blobs(spark, photos, engine.blobs("thumbs"))).first()) == (4, 4)
 
     def make_encoder():
         def encode(batch):
