@@ -8,9 +8,9 @@ The vocabulary is the words of at least ``min_count`` occurrences, by the least
 fewer; all other words share one entry that holds their total count. Bigram tables have no bound.
 
 Three passes: word counts; bigram counts, combined in each task and dealt to buckets by hash; then each document's
-distinct bigrams, dealt to the same buckets, joined to the counts and summed per document. A bucket whose bigrams
-occur more often than ``BUCKET`` times, as one with a hot bigram does, is split by salt and its counts are repeated.
-Rows hold packed arrays, as a bigram apiece would double what is shuffled.
+distinct bigrams, dealt to the same buckets, joined to the counts and summed per document, first within each task's
+chunk of documents. A bucket whose bigrams occur more often than ``BUCKET`` times, as one with a hot bigram does, is
+split by salt and its counts are repeated. Rows hold packed arrays, as a bigram apiece would double what is shuffled.
 
 Nulls: a null or empty text has 0 words, log_score 0 and a null mean. Rows that share an id are one document. A null
 id is an id. Ids are integers. An empty table gives an empty result.
@@ -36,7 +36,7 @@ BACKOFF = 0.4
 #: Bigram occurrences that one group of rows holds, about.
 BUCKET = 2_000_000
 #: Words that a task gathers before it emits rows.
-CHUNK = 600_000
+CHUNK = 400_000
 #: Words whose ids a task remembers.
 KNOWN = 400_000
 _NULL_ID = -(1 << 63)
@@ -188,37 +188,50 @@ def _doc_bigrams(shared: Broadcast, n: int, salts: Broadcast):
             all_keys = np.concatenate([k for k, _ in found])
             times = np.concatenate([t for _, t in found])
             doc = np.repeat(np.arange(len(ids)), [len(k) for k, _ in found])
+            names = np.array(ids, dtype=np.int64)
+            chunk = xxhash.xxh3_64_intdigest(names.tobytes()) >> 1
             rows = []
             for b, k, (t, d) in _by_bucket(all_keys, n, times, doc):
                 own, at = np.unique(d, return_inverse=True)
                 salt = (turn * 31 + abs(int(ids[0]))) % salts.value.get(b, 1)
-                rows.append((b, salt, _pack_sorted(k), _pack(t, 4), _pack(at, 2), np.array([ids[x] for x in own], dtype=np.int64).tobytes()))
-            yield pd.DataFrame(rows, columns=["bucket", "salt", "keys", "times", "docs", "ids"])
+                rows.append((b, salt, chunk, _pack_sorted(k), _pack(t, 4), _pack(at, 2), _pack(names[own], 8)))
+            yield pd.DataFrame(rows, columns=["bucket", "salt", "chunk", "keys", "times", "docs", "ids"])
 
     return deal
 
 
 def _scorer(shared: Broadcast, backoff: float):
+    """One row for each chunk's bigrams of a bucket: sums of its documents, packed."""
+
     def score(rows: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
-        out = {"id": [], "n_words": [], "n_seen": [], "log_score": []}
+        out = []
         if len(rows):
             words: Vocabulary = shared.value
             known, counts = _unpack_sorted(table["keys"].iloc[0]), _unpack(table["counts"].iloc[0], 8)
-            for keys, times, docs, ids in zip(rows["keys"], rows["times"], rows["docs"], rows["ids"], strict=True):
-                keys, times, docs, ids = _unpack_sorted(keys), _unpack(times, 4), _unpack(docs, 2), np.frombuffer(ids, dtype=np.int64)
+            for chunk, keys, times, docs, ids in zip(rows["chunk"], rows["keys"], rows["times"], rows["docs"], rows["ids"], strict=True):
+                keys, times, docs = _unpack_sorted(keys), _unpack(times, 4), _unpack(docs, 2)
                 others = counts[np.searchsorted(known, keys)] - times
                 before, word = words.counts[keys >> _BITS], words.counts[keys & ((1 << _BITS) - 1)]
                 seen = others > 0
                 log = np.where(seen, np.log(np.maximum(others, 1) / np.maximum(before, 1)), np.log(backoff * word / words.total))
-                sums = [np.bincount(docs, weights=x, minlength=len(ids)) for x in (times, times * seen, times * log)]
-                for name, x in zip(out, (ids, sums[0].astype(np.int64), sums[1].astype(np.int64), sums[2]), strict=True):
-                    out[name].append(x)
-        flat = {k: np.concatenate(v) if v else np.zeros(0, dtype=float if k == "log_score" else np.int64) for k, v in out.items()}
-        return pd.DataFrame(flat).groupby("id", as_index=False).sum()
+                n, hit, total = (np.bincount(docs, weights=x) for x in (times, times * seen, times * log))
+                out.append((chunk, ids, _pack(n, 4), _pack(hit, 4), total.tobytes()))
+        return pd.DataFrame(out, columns=["chunk", "ids", "n_words", "n_seen", "log_score"])
 
     return score
 
 
+def _sum_chunk(rows: pd.DataFrame) -> pd.DataFrame:
+    """A row per document of a chunk."""
+    flat = {
+        "id": np.concatenate([_unpack(x, 8) for x in rows["ids"]]),
+        "n_words": np.concatenate([_unpack(x, 4) for x in rows["n_words"]]),
+        "n_seen": np.concatenate([_unpack(x, 4) for x in rows["n_seen"]]),
+        "log_score": np.concatenate([np.frombuffer(x) for x in rows["log_score"]]),
+    }
+    return pd.DataFrame(flat).groupby("id", as_index=False).sum()
+
+
 def _release(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of passes whose results are tables by now."""
     import gc
@@ -242,10 +255,11 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     _release(spark)
     hot = {r["bucket"]: -(-r["size"] // bucket) for r in counted.where(F.col("size") > 2 * bucket).select("bucket", "size").collect()}
     salts = spark.sparkContext.broadcast(hot)
-    dealt = rows.mapInPandas(_doc_bigrams(shared, n, salts), "bucket long, salt long, keys binary, times binary, docs binary, ids binary")
+    dealt = rows.mapInPandas(_doc_bigrams(shared, n, salts), "bucket long, salt long, chunk long, keys binary, times binary, docs binary, ids binary")
     copies = F.when(F.col("size") > 2 * bucket, F.ceil(F.col("size") / bucket)).otherwise(F.lit(1)).cast("long")
     tables = counted.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1))).select("bucket", "salt", "keys", "counts")
-    parts = dealt.groupBy("bucket", "salt").cogroup(tables.groupBy("bucket", "salt")).applyInPandas(_scorer(shared, backoff), "id long, n_words long, n_seen long, log_score double")
+    parts = dealt.groupBy("bucket", "salt").cogroup(tables.groupBy("bucket", "salt")).applyInPandas(_scorer(shared, backoff), "chunk long, ids binary, n_words binary, n_seen binary, log_score binary")
+    parts = parts.groupBy("chunk").applyInPandas(_sum_chunk, "id long, n_words long, n_seen long, log_score double")
     none = F.lit(0).cast("long")
     empty = rows.select("id", none.alias("n_words"), none.alias("n_seen"), F.lit(0.0).alias("log_score"))
     whole = parts.unionByName(empty).groupBy("id").agg(*[F.sum(c).alias(c) for c in ("n_words", "n_seen", "log_score")])
