@@ -4,13 +4,13 @@
 
 ``own`` is how often the document holds the bigram, so a document doesn't vouch for itself; c(v), c(w) and N are the
 corpus's. A document's first word follows a start mark. Words are lower-cased (A-Z) runs without ASCII white space.
-The vocabulary is the words of at least ``min_count`` occurrences, by the least count that leaves ``VOCABULARY`` or
-fewer; all other words share one entry that holds their total count. Bigram tables have no bound.
+The vocabulary is the words of at least ``min_count`` occurrences, however many; all other words share one entry that
+holds their total count. Nothing that grows with the corpus is held by the driver or broadcast.
 
-Three passes: word counts; bigram counts, combined in each task and dealt to buckets by hash; then each document's
-distinct bigrams, dealt to the same buckets, joined to the counts and summed per document, first within each task's
-chunk of documents. A bucket whose bigrams occur more often than ``BUCKET`` times, as one with a hot bigram does, is
-split by salt and its counts are repeated. Rows hold packed arrays, as a bigram apiece would double what is shuffled.
+Documents are packed into chunks once. Twice, a chunk asks and is answered: for the corpus's counts of its distinct
+words, then for those of its distinct bigrams. Requests are dealt to buckets by 64-bit hash; a bucket sums what all
+chunks hold and returns the sums to each. A chunk then scores its documents by itself. A word or bigram occurs once in
+a chunk's request, however common it is, so that no bucket is hot. Rows hold packed arrays.
 
 Nulls: a null or empty text has 0 words, log_score 0 and a null mean. Rows that share an id are one document. A null
 id is an id. Ids are integers. An empty table gives an empty result.
@@ -18,36 +18,44 @@ id is an id. Ids are integers. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import sys
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark import Broadcast
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.lineage import materialise
+from ..plans.lineage import discard, materialise
 from .common import small_batches, utf8
 
-VOCABULARY = 1 << 18
+#: No bound: a vocabulary is cut to fewer words only if a caller says so.
+VOCABULARY = sys.maxsize
 BACKOFF = 0.4
 #: Bigram occurrences that one group of rows holds, about.
 BUCKET = 2_000_000
 #: Words that a task gathers before it emits rows.
 CHUNK = 400_000
-#: Words whose ids a task remembers.
-KNOWN = 400_000
+#: Bytes of text and documents that a chunk holds, about.
+CHUNK_BYTES, CHUNK_DOCS = 2_500_000, 1 << 16
+#: Rows of chunks in an Arrow batch.
+CHUNK_ROWS = 8
 _NULL_ID = -(1 << 63)
-#: Ids of the start mark and of words outside the vocabulary; the vocabulary follows.
-_START, _OTHER, _FIRST = 0, 1, 2
-_BITS = 21
+#: Stand for the start mark and for words outside the vocabulary, among the hashes of words.
+_START, _OTHER, _MIX = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F), np.uint64(0x9E3779B97F4A7C15)
+_CHUNK = "chunk long, ids binary, lengths binary, words binary, index binary"
+_REQUEST = "bucket long, chunk long, keys binary, counts binary"
+_REPLY = "chunk long, bucket long, counts binary, total long, other long"
 
 
 @dataclass
 class Vocabulary:
-    """Sorted 64-bit hashes of words; counts by id, the two special ids first."""
+    """A bounded vocabulary: sorted 64-bit hashes of words; counts, those of the start mark and of other words first."""
 
     hashes: np.ndarray
     counts: np.ndarray
@@ -71,16 +79,24 @@ def _unpack(data: bytes, width: int) -> np.ndarray:
 
 
 def _pack_sorted(keys: np.ndarray) -> bytes:
-    return _pack(np.diff(keys, prepend=0), 6)
+    return _pack(np.diff(keys.astype(np.uint64), prepend=np.uint64(0)), 8)
 
 
 def _unpack_sorted(data: bytes) -> np.ndarray:
-    return np.cumsum(_unpack(data, 6))
+    return np.cumsum(_unpack(data, 8))
+
+
+def _squeeze(values: np.ndarray) -> bytes:
+    return pa.Codec("zstd", compression_level=1).compress(_pack(values, 4), asbytes=True)
+
+
+def _unsqueeze(data: bytes, n: int) -> np.ndarray:
+    return _unpack(pa.Codec("zstd").decompress(data, decompressed_size=4 * n, asbytes=True), 4)
 
 
 def _bucket(keys: np.ndarray, n: int) -> np.ndarray:
-    mixed = (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
-    return (mixed % np.uint64(n)).astype(np.int64)
+    """By the upper bits, so that buckets are ranges of sorted keys."""
+    return (((keys >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)).astype(np.int64)
 
 
 def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -98,16 +114,26 @@ def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield out()
 
 
-def vocabulary(rows: DataFrame, limit: int = VOCABULARY, min_count: int = 2) -> Vocabulary:
-    """Count all words; keep those over the least count that leaves ``limit`` or fewer, which the driver holds."""
-    counts = materialise(rows.mapInPandas(_count_words, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")), "lm-words")
-    whole = counts.agg(F.sum("n").alias("n")).first()["n"] or 0
+def _least_count(counts: DataFrame, limit: int, min_count: int) -> int:
+    """The least count that leaves ``limit`` words or fewer."""
     least, kept = min_count, counts.where(F.col("n") >= min_count).count()
     while kept > limit:  # each step leaves about half, so few are needed
         low = least
         least = counts.where(F.col("n") >= low).agg(F.percentile_approx("n", 1 - 0.9 * limit / kept)).first()[0]
         least = max(least, low + 1)
         kept = counts.where(F.col("n") >= least).count()
+    return least
+
+
+def _word_counts(rows: DataFrame) -> DataFrame:
+    return materialise(rows.mapInPandas(_count_words, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")), "lm-words")
+
+
+def vocabulary(rows: DataFrame, limit: int, min_count: int = 2) -> Vocabulary:
+    """Words over the least count that leaves ``limit`` or fewer, held by the driver. Scoring doesn't use it."""
+    counts = _word_counts(rows)
+    whole = counts.agg(F.sum("n").alias("n")).first()["n"] or 0
+    least = _least_count(counts, limit, min_count)
     small_batches(counts.sparkSession, 10_000)  # numbers only
     known = counts.where(F.col("n") >= least).toPandas().sort_values("hash", kind="stable")
     small_batches(counts.sparkSession)
@@ -116,128 +142,127 @@ def vocabulary(rows: DataFrame, limit: int = VOCABULARY, min_count: int = 2) ->
     return Vocabulary(known["hash"].to_numpy(np.int64), np.concatenate(([n_docs, whole - inside.sum()], inside)).astype(np.int64), int(whole))
 
 
-class _Reader:
-    """Bigram keys of texts: the id of a word and of the one before it."""
+def _chunk_row(turn: int, ids: list[int], texts: list[bytes | None]) -> tuple:
+    """Hashes of the distinct words in order of appearance, and each word's place among them."""
+    at: dict[bytes, int] = {}
+    words = [_words(t) for t in texts]
+    lengths = np.array([len(x) for x in words], dtype=np.int64)
+    index = np.fromiter((at.setdefault(w, len(at)) for x in words for w in x), dtype=np.int64, count=int(lengths.sum()))
+    hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in at], dtype=np.uint64)
+    chunk = (TaskContext.get().partitionId() << 32) | turn
+    return chunk, _pack(np.array(ids, dtype=np.int64), 8), _pack(lengths, 4), hashes.tobytes(), _squeeze(index)
+
+
+def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    turn, ids, texts, size = 0, [], [], 0
+    out = lambda: pd.DataFrame([_chunk_row(turn, ids, texts)], columns=["chunk", "ids", "lengths", "words", "index"])
+    for batch in batches:
+        for i, text in zip(batch["id"], batch["text"], strict=True):
+            ids.append(i)
+            texts.append(text)
+            size += len(text or b"")
+            if size >= CHUNK_BYTES or len(ids) == CHUNK_DOCS:
+                yield out()
+                turn, ids, texts, size = turn + 1, [], [], 0
+    if ids:
+        yield out()
+
+
+class _Chunk:
+    """A chunk's documents: ``index`` has the place of each word in ``hashes``, ``doc`` the document it is in."""
+
+    def __init__(self, row):
+        self.chunk, self.ids, self.lengths = int(row.chunk), _unpack(row.ids, 8), _unpack(row.lengths, 4)
+        self.hashes = np.frombuffer(row.words, dtype=np.uint64)
+        self.index = _unsqueeze(row.index, int(self.lengths.sum()))
+        self.doc = np.repeat(np.arange(len(self.ids)), self.lengths)
 
-    def __init__(self, words: Vocabulary):
-        self.words, self.ids = words, {}
+    def pairs(self, values: np.ndarray, start) -> tuple[np.ndarray, np.ndarray]:
+        """Values of each word and of the one before it, ``start`` before a document's first."""
+        own = values[self.index]
+        before = np.roll(own, 1)
+        before[np.flatnonzero(np.diff(self.doc, prepend=-1))] = start
+        return before, own
 
-    def keys(self, text: bytes | None) -> np.ndarray:
-        own = _words(text)
-        ids = self.ids
-        if len(ids) > KNOWN:
-            ids.clear()
-        if new := [w for w in dict.fromkeys(own) if w not in ids]:
-            found = np.array([xxhash.xxh3_64_intdigest(w) for w in new], dtype=np.uint64).view(np.int64)
-            at = np.searchsorted(self.words.hashes, found)
-            hit = at < len(self.words.hashes)
-            hit[hit] = self.words.hashes[at[hit]] == found[hit]
-            ids.update(zip(new, np.where(hit, at + _FIRST, _OTHER).tolist(), strict=True))
-        at = np.fromiter((ids[w] for w in own), dtype=np.int64, count=len(own))
-        return (np.concatenate(([_START], at[:-1])) << _BITS) | at if len(at) else at
+    def bigrams(self, counts: np.ndarray) -> np.ndarray:
+        before, own = self.pairs(np.where(counts > 0, self.hashes, _OTHER), _START)
+        return before * _MIX + own
 
 
-def _by_bucket(keys: np.ndarray, n: int, *more: np.ndarray) -> Iterator[tuple[int, np.ndarray, list[np.ndarray]]]:
-    """(bucket, sorted keys, their other values) for each bucket there is."""
-    if not len(keys):
-        return
+def _requests(chunk: int, keys: np.ndarray, times: np.ndarray, n: int) -> list[tuple]:
+    """A row for each bucket that sorted keys are in."""
     bucket = _bucket(keys, n)
-    order = np.lexsort((keys, bucket))
-    bucket, keys, more = bucket[order], keys[order], [x[order] for x in more]
-    edges = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
-    for a, b in zip(edges[:-1], edges[1:], strict=True):
-        yield int(bucket[a]), keys[a:b], [x[a:b] for x in more]
+    edges = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True]))) if len(keys) else [0]
+    return [(int(bucket[a]), chunk, _pack_sorted(keys[a:b]), _pack(times[a:b], 4)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
 
-def _chunks(batches: Iterator[pd.DataFrame], reader: _Reader) -> Iterator[tuple[list[int], list[np.ndarray]]]:
-    ids, keys, size = [], [], 0
-    for batch in batches:
-        for i, text in zip(batch["id"], batch["text"], strict=True):
-            ids.append(i)
-            keys.append(reader.keys(text))
-            size += len(keys[-1])
-            if size >= CHUNK or len(ids) == 1 << 16:
-                yield ids, keys
-                ids, keys, size = [], [], 0
-    if ids:
-        yield ids, keys
-
-
-def _bigram_counter(shared: Broadcast, n: int):
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for _, keys in _chunks(batches, _Reader(shared.value)):
-            own, times = np.unique(np.concatenate(keys), return_counts=True)
-            rows = [(b, _pack_sorted(k), _pack(t, 4)) for b, k, (t,) in _by_bucket(own, n, times)]
-            yield pd.DataFrame(rows, columns=["bucket", "keys", "counts"])
-
-    return count
-
-
-def _merge_counts(rows: pd.DataFrame) -> pd.DataFrame:
-    keys = np.concatenate([_unpack_sorted(x) for x in rows["keys"]])
-    times = np.concatenate([_unpack(x, 4) for x in rows["counts"]])
-    own, at = np.unique(keys, return_inverse=True)
-    sums = np.bincount(at, weights=times, minlength=len(own)).astype(np.int64)
-    return pd.DataFrame([(rows["bucket"].iloc[0], _pack_sorted(own), _pack(sums, 8), int(sums.sum()))], columns=["bucket", "keys", "counts", "size"])
-
-
-def _doc_bigrams(shared: Broadcast, n: int, salts: Broadcast):
-    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for turn, (ids, keys) in enumerate(_chunks(batches, _Reader(shared.value))):
-            found = [np.unique(k, return_counts=True) for k in keys]
-            all_keys = np.concatenate([k for k, _ in found])
-            times = np.concatenate([t for _, t in found])
-            doc = np.repeat(np.arange(len(ids)), [len(k) for k, _ in found])
-            names = np.array(ids, dtype=np.int64)
-            chunk = xxhash.xxh3_64_intdigest(names.tobytes()) >> 1
-            rows = []
-            for b, k, (t, d) in _by_bucket(all_keys, n, times, doc):
-                own, at = np.unique(d, return_inverse=True)
-                salt = (turn * 31 + abs(int(ids[0]))) % salts.value.get(b, 1)
-                rows.append((b, salt, chunk, _pack_sorted(k), _pack(t, 4), _pack(at, 2), _pack(names[own], 8)))
-            yield pd.DataFrame(rows, columns=["bucket", "salt", "chunk", "keys", "times", "docs", "ids"])
-
-    return deal
-
-
-def _scorer(shared: Broadcast, backoff: float):
-    """One row for each chunk's bigrams of a bucket: sums of its documents, packed."""
-
-    def score(rows: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(rows):
-            words: Vocabulary = shared.value
-            known, counts = _unpack_sorted(table["keys"].iloc[0]), _unpack(table["counts"].iloc[0], 8)
-            for chunk, keys, times, docs, ids in zip(rows["chunk"], rows["keys"], rows["times"], rows["docs"], rows["ids"], strict=True):
-                keys, times, docs = _unpack_sorted(keys), _unpack(times, 4), _unpack(docs, 2)
-                others = counts[np.searchsorted(known, keys)] - times
-                before, word = words.counts[keys >> _BITS], words.counts[keys & ((1 << _BITS) - 1)]
-                seen = others > 0
-                log = np.where(seen, np.log(np.maximum(others, 1) / np.maximum(before, 1)), np.log(backoff * word / words.total))
-                n, hit, total = (np.bincount(docs, weights=x) for x in (times, times * seen, times * log))
-                out.append((chunk, ids, _pack(n, 4), _pack(hit, 4), total.tobytes()))
-        return pd.DataFrame(out, columns=["chunk", "ids", "n_words", "n_seen", "log_score"])
+def _asker(n: int, words: bool):
+    """Requests for the counts of each chunk's distinct words, or else bigrams."""
 
-    return score
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                own = _Chunk(row)
+                keys = own.hashes[own.index] if words else own.bigrams(_unpack(row.counts, 8))
+                yield pd.DataFrame(_requests(own.chunk, *np.unique(keys, return_counts=True), n), columns=["bucket", "chunk", "keys", "counts"])
+
+    return ask
+
+
+def _answerer(min_count: int):
+    """Sums of all chunks' counts, 0 for one below ``min_count``, to each chunk. The first row has the bucket's totals."""
+
+    def answer(rows: pd.DataFrame) -> pd.DataFrame:
+        keys = [_unpack_sorted(x) for x in rows["keys"]]
+        edges = np.cumsum([len(x) for x in keys])[:-1]
+        own, at = np.unique(np.concatenate(keys), return_inverse=True)
+        times = np.concatenate([_unpack(x, 4) for x in rows["counts"]])
+        sums = np.bincount(at, weights=times, minlength=len(own)).astype(np.int64)
+        out = pd.DataFrame({"chunk": rows["chunk"], "bucket": rows["bucket"], "counts": [zlib.compress(_pack(x, 8), 1) for x in np.split(np.where(sums < min_count, 0, sums)[at], edges)]})
+        first = np.arange(len(rows)) == 0
+        return out.assign(total=np.where(first, sums.sum(), 0), other=np.where(first, sums[sums < min_count].sum(), 0))
+
+    return answer
 
 
-def _sum_chunk(rows: pd.DataFrame) -> pd.DataFrame:
-    """A row per document of a chunk."""
-    flat = {
-        "id": np.concatenate([_unpack(x, 8) for x in rows["ids"]]),
-        "n_words": np.concatenate([_unpack(x, 4) for x in rows["n_words"]]),
-        "n_seen": np.concatenate([_unpack(x, 4) for x in rows["n_seen"]]),
-        "log_score": np.concatenate([np.frombuffer(x) for x in rows["log_score"]]),
-    }
-    return pd.DataFrame(flat).groupby("id", as_index=False).sum()
+def _answers(replies: pd.DataFrame) -> np.ndarray:
+    """Counts in the order of a chunk's sorted keys."""
+    return np.concatenate([np.zeros(0, dtype=np.int64), *(_unpack(zlib.decompress(x), 8) for x in replies.sort_values("bucket")["counts"])])
+
+
+def _resolve(rows: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
+    """The chunk with its words' counts."""
+    hashes = np.frombuffer(rows["words"].iloc[0], dtype=np.uint64)
+    own, at = np.unique(hashes, return_inverse=True)
+    return rows.assign(counts=[_pack(_answers(replies)[at], 8)])
+
+
+def _scorer(n_docs: int, total: int, other: int, backoff: float):
+    def score(rows: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
+        """A row per document of a chunk."""
+        row = next(rows.itertuples(index=False))
+        own, counts = _Chunk(row), _unpack(row.counts, 8)
+        keys, at = np.unique(own.bigrams(counts), return_inverse=True)
+        before, word = own.pairs(np.where(counts > 0, counts, other), n_docs)
+        _, first, times = np.unique(own.doc * len(keys) + at, return_index=True, return_counts=True)
+        others = _answers(replies)[at[first]] - times
+        before, word, doc, seen = before[first], word[first], own.doc[first], others > 0
+        log = np.where(seen, np.log(np.maximum(others, 1) / before), np.log(backoff * word / max(total, 1)))
+        hit, sums = (np.bincount(doc, weights=x, minlength=len(own.ids)) for x in (times * seen, times * log))
+        return pd.DataFrame({"id": own.ids, "n_words": own.lengths, "n_seen": hit.astype(np.int64), "log_score": sums})
+
+    return score
 
 
 def _release(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of passes whose results are tables by now."""
     import gc
+    import time
 
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):  # the first run may come before listeners let go of the pass
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text", limit: int = VOCABULARY, min_count: int = 2, backoff: float = BACKOFF, bucket: int = BUCKET) -> DataFrame:
@@ -245,23 +270,26 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("id"), utf8(F.col(text)).alias("text"))
-    words = vocabulary(rows, limit, min_count)
+    if limit < VOCABULARY:
+        min_count = _least_count(_word_counts(rows), limit, min_count)
+    n_docs = rows.select("id").distinct().count()
+    chunks = materialise(rows.mapInPandas(_chunks, _CHUNK), "lm-chunks")
+    small_batches(spark, CHUNK_ROWS)
+    size = chunks.agg(F.sum(F.length("words")).alias("n")).first()["n"] or 0
+    asked = chunks.mapInPandas(_asker(max(1, -(-size // 8 // bucket)), True), _REQUEST)
+    replies = materialise(asked.groupBy("bucket").applyInPandas(_answerer(min_count), _REPLY), "lm-words")
     _release(spark)
-    shared = spark.sparkContext.broadcast(words)
-    n = max(1, -(-words.total // bucket))
-    schema = "bucket long, keys binary, counts binary"
-    counted = rows.mapInPandas(_bigram_counter(shared, n), schema).groupBy("bucket").applyInPandas(_merge_counts, schema + ", size long")
-    counted = materialise(counted, "lm-bigrams")
+    whole = replies.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("total"), F.coalesce(F.sum("other"), F.lit(0)).alias("other")).first()
+    known = materialise(chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInPandas(_resolve, _CHUNK + ", counts binary"), "lm-known")
+    discard(chunks)
+    discard(replies)
     _release(spark)
-    hot = {r["bucket"]: -(-r["size"] // bucket) for r in counted.where(F.col("size") > 2 * bucket).select("bucket", "size").collect()}
-    salts = spark.sparkContext.broadcast(hot)
-    dealt = rows.mapInPandas(_doc_bigrams(shared, n, salts), "bucket long, salt long, chunk long, keys binary, times binary, docs binary, ids binary")
-    copies = F.when(F.col("size") > 2 * bucket, F.ceil(F.col("size") / bucket)).otherwise(F.lit(1)).cast("long")
-    tables = counted.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1))).select("bucket", "salt", "keys", "counts")
-    parts = dealt.groupBy("bucket", "salt").cogroup(tables.groupBy("bucket", "salt")).applyInPandas(_scorer(shared, backoff), "chunk long, ids binary, n_words binary, n_seen binary, log_score binary")
-    parts = parts.groupBy("chunk").applyInPandas(_sum_chunk, "id long, n_words long, n_seen long, log_score double")
-    none = F.lit(0).cast("long")
-    empty = rows.select("id", none.alias("n_words"), none.alias("n_seen"), F.lit(0.0).alias("log_score"))
-    whole = parts.unionByName(empty).groupBy("id").agg(*[F.sum(c).alias(c) for c in ("n_words", "n_seen", "log_score")])
+    asked = known.mapInPandas(_asker(max(1, -(-whole["total"] // bucket)), False), _REQUEST)
+    replies = materialise(asked.groupBy("bucket").applyInPandas(_answerer(1), _REPLY), "lm-bigrams")
+    _release(spark)
+    small_batches(spark)
+    scorer = _scorer(n_docs, whole["total"], whole["other"], backoff)
+    parts = known.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInPandas(scorer, "id long, n_words long, n_seen long, log_score double")
+    whole = parts.groupBy("id").agg(*[F.sum(c).alias(c) for c in ("n_words", "n_seen", "log_score")])
     mean = F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")).alias("mean_log_score")
     return whole.select(F.when(F.col("id") != _NULL_ID, F.col("id")).alias(id_col), "n_words", "n_seen", "log_score", mean)

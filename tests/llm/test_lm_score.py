@@ -61,6 +61,15 @@ def test_bounded_vocabulary_may_only_shrink_to_a_count(spark):
     assert words.counts[1] + words.counts[2:].sum() == sum(counts.values()) == words.total
 
 
+def test_vocabulary_has_no_bound(spark):
+    names = [f"r{k}" for k in range(270_000)]  # more words than 2^18, twice each
+    docs = [(k, " ".join(names[k * 9000 : (k + 1) * 9000])) for k in range(30)] + [(30 + k, " ".join(names[k::7])) for k in range(7)]
+    got = {r["doc_id"]: r for r in lm.score_documents(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for i, (n, seen, score) in brute(docs, 1 << 62).items():
+        assert (got[i]["n_words"], got[i]["n_seen"]) == (n, seen)
+        assert math.isclose(got[i]["log_score"], score, rel_tol=1e-9)
+
+
 def test_odd_rows_and_empty_tables(odd, empty):
     out = {r["doc_id"]: r for r in lm.score_documents(odd).collect()}
     assert set(out) == {None, 1, 2, 3, 4, 5, 6, 7, 8, 9}
