@@ -10,7 +10,8 @@ holds their total count. Nothing that grows with the corpus is held by the drive
 Documents are packed into chunks once. Twice, a chunk asks and is answered: for the corpus's counts of its distinct
 words, then for those of its distinct bigrams. Requests are dealt to buckets by 64-bit hash; a bucket sums what all
 chunks hold and returns the sums to each. A chunk then scores its documents by itself. A word or bigram occurs once in
-a chunk's request, however common it is, so that no bucket is hot. Rows hold packed arrays.
+a chunk's request, however common it is, so that no bucket is hot. Rows hold packed arrays. Rows whose id is repeated
+are in chunks of their own, which ask for bigrams by id: the answer leaves out what the id holds in other chunks.
 
 Nulls: a null or empty text has 0 words, log_score 0 and a null mean. Rows that share an id are one document. A null
 id is an id. Ids are integers. An empty table gives an empty result.
@@ -48,8 +49,8 @@ CHUNK_ROWS = 8
 _NULL_ID = -(1 << 63)
 #: Stand for the start mark and for words outside the vocabulary, among the hashes of words.
 _START, _OTHER, _MIX = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F), np.uint64(0x9E3779B97F4A7C15)
-_CHUNK = "chunk long, ids binary, lengths binary, words binary, index binary"
-_REQUEST = "bucket long, chunk long, keys binary, counts binary"
+_CHUNK = "chunk long, again boolean, ids binary, lengths binary, words binary, index binary"
+_REQUEST = "bucket long, chunk long, keys binary, counts binary, ids binary"
 _REPLY = "chunk long, bucket long, counts binary, total long, other long"
 
 
@@ -142,7 +143,7 @@ def vocabulary(rows: DataFrame, limit: int, min_count: int = 2) -> Vocabulary:
     return Vocabulary(known["hash"].to_numpy(np.int64), np.concatenate(([n_docs, whole - inside.sum()], inside)).astype(np.int64), int(whole))
 
 
-def _chunk_row(turn: int, ids: list[int], texts: list[bytes | None]) -> tuple:
+def _chunk_row(turn: int, again: bool, ids: list[int], texts: list[bytes | None]) -> tuple:
     """Hashes of the distinct words in order of appearance, and each word's place among them."""
     at: dict[bytes, int] = {}
     words = [_words(t) for t in texts]
@@ -150,50 +151,62 @@ def _chunk_row(turn: int, ids: list[int], texts: list[bytes | None]) -> tuple:
     index = np.fromiter((at.setdefault(w, len(at)) for x in words for w in x), dtype=np.int64, count=int(lengths.sum()))
     hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in at], dtype=np.uint64)
     chunk = (TaskContext.get().partitionId() << 32) | turn
-    return chunk, _pack(np.array(ids, dtype=np.int64), 8), _pack(lengths, 4), hashes.tobytes(), _squeeze(index)
+    return chunk, again, _pack(np.array(ids, dtype=np.int64), 8), _pack(lengths, 4), hashes.tobytes(), _squeeze(index)
 
 
 def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    turn, ids, texts, size = 0, [], [], 0
-    out = lambda: pd.DataFrame([_chunk_row(turn, ids, texts)], columns=["chunk", "ids", "lengths", "words", "index"])
+    turn, held = 0, {False: ([], [], []), True: ([], [], [])}
+    out = lambda again: pd.DataFrame([_chunk_row(turn, again, *held[again][:2])], columns=["chunk", "again", "ids", "lengths", "words", "index"])
     for batch in batches:
-        for i, text in zip(batch["id"], batch["text"], strict=True):
+        for i, text, again in zip(batch["id"], batch["text"], batch["again"], strict=True):
+            ids, texts, sizes = held[bool(again)]
             ids.append(i)
             texts.append(text)
-            size += len(text or b"")
-            if size >= CHUNK_BYTES or len(ids) == CHUNK_DOCS:
-                yield out()
-                turn, ids, texts, size = turn + 1, [], [], 0
-    if ids:
-        yield out()
+            sizes.append(len(text or b"") + (sizes[-1] if sizes else 0))
+            if sizes[-1] >= CHUNK_BYTES or len(ids) == CHUNK_DOCS:
+                yield out(bool(again))
+                turn += 1
+                held[bool(again)] = ([], [], [])
+    for again in held:
+        if held[again][0]:
+            yield out(again)
+            turn += 1
 
 
 class _Chunk:
-    """A chunk's documents: ``index`` has the place of each word in ``hashes``, ``doc`` the document it is in."""
+    """A chunk's documents: ``index`` has the place of each word in ``hashes``, ``doc`` that of its document in ``ids``."""
 
     def __init__(self, row):
-        self.chunk, self.ids, self.lengths = int(row.chunk), _unpack(row.ids, 8), _unpack(row.lengths, 4)
+        self.chunk, self.again, lengths = int(row.chunk), bool(row.again), _unpack(row.lengths, 4)
+        self.ids, at = np.unique(_unpack(row.ids, 8), return_inverse=True)
         self.hashes = np.frombuffer(row.words, dtype=np.uint64)
-        self.index = _unsqueeze(row.index, int(self.lengths.sum()))
-        self.doc = np.repeat(np.arange(len(self.ids)), self.lengths)
+        self.index = _unsqueeze(row.index, int(lengths.sum()))
+        self.doc = np.repeat(at, lengths)
+        self.starts = (np.cumsum(lengths) - lengths)[lengths > 0]
 
     def pairs(self, values: np.ndarray, start) -> tuple[np.ndarray, np.ndarray]:
-        """Values of each word and of the one before it, ``start`` before a document's first."""
+        """Values of each word and of the one before it, ``start`` before a row's first."""
         own = values[self.index]
         before = np.roll(own, 1)
-        before[np.flatnonzero(np.diff(self.doc, prepend=-1))] = start
+        before[self.starts] = start
         return before, own
 
-    def bigrams(self, counts: np.ndarray) -> np.ndarray:
+    def bigrams(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | None, np.ndarray]:
+        """What the chunk asks for: sorted keys, their counts, their ids if ids are repeated; each word's place in it."""
         before, own = self.pairs(np.where(counts > 0, self.hashes, _OTHER), _START)
-        return before * _MIX + own
+        keys, at, times = np.unique(before * _MIX + own, return_inverse=True, return_counts=True)
+        if not self.again:
+            return keys, times, None, at
+        both, at, times = np.unique(at * len(self.ids) + self.doc, return_inverse=True, return_counts=True)
+        return keys[both // len(self.ids)], times, self.ids[both % len(self.ids)], at
 
 
-def _requests(chunk: int, keys: np.ndarray, times: np.ndarray, n: int) -> list[tuple]:
+def _requests(chunk: int, n: int, keys: np.ndarray, times: np.ndarray, ids: np.ndarray | None = None) -> pd.DataFrame:
     """A row for each bucket that sorted keys are in."""
     bucket = _bucket(keys, n)
     edges = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True]))) if len(keys) else [0]
-    return [(int(bucket[a]), chunk, _pack_sorted(keys[a:b]), _pack(times[a:b], 4)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    rows = [(int(bucket[a]), chunk, _pack_sorted(keys[a:b]), _pack(times[a:b], 4), None if ids is None else _pack(ids[a:b], 8)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    return pd.DataFrame(rows, columns=["bucket", "chunk", "keys", "counts", "ids"])
 
 
 def _asker(n: int, words: bool):
@@ -203,8 +216,8 @@ def _asker(n: int, words: bool):
         for batch in batches:
             for row in batch.itertuples(index=False):
                 own = _Chunk(row)
-                keys = own.hashes[own.index] if words else own.bigrams(_unpack(row.counts, 8))
-                yield pd.DataFrame(_requests(own.chunk, *np.unique(keys, return_counts=True), n), columns=["bucket", "chunk", "keys", "counts"])
+                asked = np.unique(own.hashes[own.index], return_counts=True) if words else own.bigrams(_unpack(row.counts, 8))[:3]
+                yield _requests(own.chunk, n, *asked)
 
     return ask
 
@@ -213,12 +226,19 @@ def _answerer(min_count: int):
     """Sums of all chunks' counts, 0 for one below ``min_count``, to each chunk. The first row has the bucket's totals."""
 
     def answer(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.reset_index(drop=True)
         keys = [_unpack_sorted(x) for x in rows["keys"]]
         edges = np.cumsum([len(x) for x in keys])[:-1]
         own, at = np.unique(np.concatenate(keys), return_inverse=True)
         times = np.concatenate([_unpack(x, 4) for x in rows["counts"]])
         sums = np.bincount(at, weights=times, minlength=len(own)).astype(np.int64)
-        out = pd.DataFrame({"chunk": rows["chunk"], "bucket": rows["bucket"], "counts": [zlib.compress(_pack(x, 8), 1) for x in np.split(np.where(sums < min_count, 0, sums)[at], edges)]})
+        answers = np.where(sums < min_count, 0, sums)[at]
+        if (again := rows["ids"].notna().to_numpy()).any():
+            asked = np.repeat(again, [len(x) for x in keys])
+            ids = np.concatenate([_unpack(x, 8) for x in rows["ids"][again]])
+            mine = pd.DataFrame({"key": at[asked], "id": ids, "n": times[asked]})
+            answers[asked] -= (mine.groupby(["key", "id"])["n"].transform("sum") - mine["n"]).to_numpy()
+        out = pd.DataFrame({"chunk": rows["chunk"], "bucket": rows["bucket"], "counts": [zlib.compress(_pack(x, 8), 1) for x in np.split(answers, edges)]})
         first = np.arange(len(rows)) == 0
         return out.assign(total=np.where(first, sums.sum(), 0), other=np.where(first, sums[sums < min_count].sum(), 0))
 
@@ -242,14 +262,14 @@ def _scorer(n_docs: int, total: int, other: int, backoff: float):
         """A row per document of a chunk."""
         row = next(rows.itertuples(index=False))
         own, counts = _Chunk(row), _unpack(row.counts, 8)
-        keys, at = np.unique(own.bigrams(counts), return_inverse=True)
+        keys, _, _, at = own.bigrams(counts)
         before, word = own.pairs(np.where(counts > 0, counts, other), n_docs)
         _, first, times = np.unique(own.doc * len(keys) + at, return_index=True, return_counts=True)
         others = _answers(replies)[at[first]] - times
         before, word, doc, seen = before[first], word[first], own.doc[first], others > 0
         log = np.where(seen, np.log(np.maximum(others, 1) / before), np.log(backoff * word / max(total, 1)))
-        hit, sums = (np.bincount(doc, weights=x, minlength=len(own.ids)) for x in (times * seen, times * log))
-        return pd.DataFrame({"id": own.ids, "n_words": own.lengths, "n_seen": hit.astype(np.int64), "log_score": sums})
+        n, hit, sums = (np.bincount(doc, weights=x, minlength=len(own.ids)) for x in (times, times * seen, times * log))
+        return pd.DataFrame({"id": own.ids, "n_words": n.astype(np.int64), "n_seen": hit.astype(np.int64), "log_score": sums})
 
     return score
 
@@ -272,7 +292,12 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("id"), utf8(F.col(text)).alias("text"))
     if limit < VOCABULARY:
         min_count = _least_count(_word_counts(rows), limit, min_count)
-    n_docs = rows.select("id").distinct().count()
+    ids = materialise(rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")), "lm-ids")
+    n_docs, repeated = ids.count(), ids.where("n > 1").select("id", F.lit(True).alias("again"))
+    if repeated.isEmpty():
+        rows = rows.withColumn("again", F.lit(False))
+    else:
+        rows = rows.join(repeated, "id", "left").select("id", "text", F.coalesce("again", F.lit(False)).alias("again"))
     chunks = materialise(rows.mapInPandas(_chunks, _CHUNK), "lm-chunks")
     small_batches(spark, CHUNK_ROWS)
     size = chunks.agg(F.sum(F.length("words")).alias("n")).first()["n"] or 0

@@ -70,6 +70,31 @@ def test_vocabulary_has_no_bound(spark):
         assert math.isclose(got[i]["log_score"], score, rel_tol=1e-9)
 
 
+def test_rows_of_one_id_are_one_document(spark):
+    rows = [(4, "same text here"), (5, "same text"), (4, "same text here"), (6, "other words here"), (None, "only null"), (4, "same text here"), (None, "only null"), (7, ""), (7, "text here")]
+    uni, pairs, mine = Counter(), Counter(), {}
+    for i, t in rows:
+        mine.setdefault(i, Counter()).update(zip(["<s>", *t.split()], t.split(), strict=False))
+        uni.update(t.split())
+    total = uni.total()
+    assert [w for w in uni if uni[w] < 2] == ["other", "words"]  # the words outside the vocabulary
+    name = lambda w: "" if w in ("other", "words") else w
+    for i, m in mine.items():
+        merged = Counter()
+        for (v, w), n in m.items():
+            merged[name(v), name(w)] += n
+        mine[i] = merged
+        pairs.update(merged)
+    uni.update({"": 2, "<s>": len(mine)})
+    for parts in (1, 5):
+        got = {r["doc_id"]: r for r in lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts), bucket=4).collect()}
+        assert got.keys() == mine.keys()
+        for i, m in mine.items():
+            assert (got[i]["n_words"], got[i]["n_seen"]) == (m.total(), sum(n for b, n in m.items() if pairs[b] > n))
+            score = sum(n * (math.log((pairs[b] - n) / uni[b[0]]) if pairs[b] > n else math.log(0.4 * uni[b[1]] / total)) for b, n in m.items())
+            assert math.isclose(got[i]["log_score"], score, rel_tol=1e-9, abs_tol=1e-9)
+
+
 def test_odd_rows_and_empty_tables(odd, empty):
     out = {r["doc_id"]: r for r in lm.score_documents(odd).collect()}
     assert set(out) == {None, 1, 2, 3, 4, 5, 6, 7, 8, 9}
