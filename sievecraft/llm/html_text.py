@@ -39,6 +39,7 @@ DROP_WORDS = {
     "nav", "navbar", "navigation", "menu", "menus", "submenu", "footer", "masthead", "header", "topbar", "toolbar", "widget", "widgets", "search", "skip", "tagcloud", "copyright", "disclaimer",
 }
 REPLY_WORDS = {"comment", "comments", "reply", "replies", "ad", "ads", "advert", "advertisement", "sponsored", "promo", "related", "recommended"}
+CONTENT_WORDS = {"article", "content", "post", "entry", "story", "body", "text"}
 
 _CLOSED_BY = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"tr", "td", "th", "thead", "tbody"},
@@ -174,17 +175,42 @@ def _read(page: str) -> tuple[list[_Node], list[tuple[int, str, int]]]:
     return nodes, blocks
 
 
-def _furniture(nodes: list[_Node], chars: list[int], total: int) -> None:
-    """Mark elements whose class or id names page furniture, unless they hold most of the page."""
+def _named(x: _Node) -> bool:
+    """Whether class or id names page furniture."""
+    return bool(x.tokens) and x.name not in ("html", "body", "main") and bool(x.tokens & (REPLY_WORDS if x.name == "article" else DROP_WORDS))
+
+
+def _beside(nodes: list[_Node], blocks: list[tuple[int, str, int]], chars: list[int], k: int) -> bool:
+    """Whether the page's text stands beside ``k``, which is no wrapper of it: paragraphs of an article or main, or, for
+    comments and adverts that aren't named as content too, of any container."""
+    if any(x.name in ("article", "main") and c and not x.dropped and not _named(x) for x, c in zip(nodes[k + 1 : nodes[k].end], chars[k + 1 : nodes[k].end], strict=True)):
+        return False
+    anywhere = nodes[k].tokens & REPLY_WORDS and not nodes[k].tokens & CONTENT_WORDS
+    for at, text, _ in blocks:
+        if nodes[at].dropped or k <= at < nodes[k].end or len(text) < LEAST_CHARS or nodes[at].name[0] == "h":
+            continue
+        inside = False
+        while at >= 0:
+            x = nodes[at]
+            if _named(x) and not at <= k < x.end:
+                break
+            inside |= x.name in ("article", "main")
+            at = x.parent
+        else:
+            if inside or anywhere:
+                return True
+    return False
+
+
+def _furniture(nodes: list[_Node], blocks: list[tuple[int, str, int]], chars: list[int], total: int) -> None:
+    """Mark elements whose class or id names page furniture, unless they hold most of the page and no text is beside them."""
     for k, x in enumerate(nodes):
         if x.dropped or x.parent < 0:
             continue
         if nodes[x.parent].dropped:
             x.dropped = True
-        elif x.tokens and x.name not in ("html", "body", "main"):
-            named = x.tokens & (REPLY_WORDS if x.name == "article" else DROP_WORDS)
-            if named and chars[k] * 2 <= total:
-                x.dropped = True
+        elif _named(x) and (chars[k] * 2 <= total or _beside(nodes, blocks, chars, k)):
+            x.dropped = True
 
 
 def main_text(page: str | None) -> str:
@@ -198,7 +224,7 @@ def main_text(page: str | None) -> str:
             chars[k] += len(text)
     for k in range(len(nodes) - 1, 0, -1):
         chars[nodes[k].parent] += chars[k]
-    _furniture(nodes, chars, chars[0])
+    _furniture(nodes, blocks, chars, chars[0])
     kept = [(k, text, linked) for k, text, linked in blocks if not nodes[k].dropped]
     if not kept:
         return ""
@@ -220,7 +246,7 @@ def main_text(page: str | None) -> str:
 
     def score(k: int) -> float:
         x = nodes[k]
-        bonus = 25.0 if x.name in ("article", "main") else 5.0 if x.tokens & {"article", "content", "post", "entry", "story", "body", "text"} else 0.0
+        bonus = 25.0 if x.name in ("article", "main") else 5.0 if x.tokens & CONTENT_WORDS else 0.0
         return (x.points + bonus) * (1 - x.links / max(1, x.chars)) if x.chars else 0.0
 
     best = max((k for k in range(len(nodes)) if not nodes[k].dropped and (nodes[k].name in BLOCK or not k)), key=lambda k: (score(k), -k))

@@ -36,6 +36,16 @@ def test_main_text(body, text):
     assert main_text(page(body)) == text
 
 
+def test_furniture_larger_than_the_article_is_left_out():
+    comments = "".join(f"<p>Reader {k} has a long opinion, with commas, about this and that matter.</p>" for k in range(20))
+    assert main_text(page(f"<article>{LONG}</article><section class=comments>{comments}</section>")) == f"{P1}\n{P2}"
+    assert main_text(page(f"<main>{LONG}<section id=comments>{comments}</section></main>")) == f"{P1}\n{P2}"
+    assert main_text(page(f"<div>{LONG}</div><div class=comments>{comments}</div>")) == f"{P1}\n{P2}"
+    wrapped = f"<div class=overlay><article>{LONG}</article><section class=comments>{comments}</section></div>"
+    assert main_text(page(wrapped)) == f"{P1}\n{P2}"
+    assert main_text(page(f"<div class=widget>{LONG}</div><div><p>A line of the site, long enough.</p></div>")).startswith(P1)
+
+
 @pytest.mark.parametrize("html", [None, "", "<", "<p", "</", "<!--", "<script>", "&", "<nav>x</nav>", "<a <b <c>", "<p>" * 3000, "<div>" * 3000 + "x"])
 def test_broken_pages_do_not_crash(html):
     assert main_text(html) in ("", "&", "x")
