@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -74,6 +75,10 @@ Permission is granted to anyone to use this software for any purpose, including
     "MIT-notice": "Released under the MIT License.",
     "Apache-2.0-notice": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.',
 }
+_DUTY = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+LICENCES["BSD-3-Clause"] = LICENCES["BSD-2-Clause"].replace("BSD 2-Clause", "BSD 3-Clause").replace("\n\nTHIS SOFTWARE IS PROVIDED", f"\n\n3. {_DUTY}\n\nTHIS SOFTWARE IS PROVIDED")
+#: Long licences are files, as their stewards publish them.
+LICENCES |= {p.stem: p.read_text(encoding="utf-8").strip() for p in sorted((Path(__file__).parent / "licence_texts").glob("*.txt"))}
 SPELLINGS = {
     "licence": "license",
     "licences": "licenses",

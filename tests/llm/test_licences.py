@@ -22,6 +22,13 @@ def test_known_texts_in_many_guises(documents):
     assert got[10]["digest"] is None
 
 
+def test_common_licences_are_known(documents):
+    names = ["Apache-2.0", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0"]
+    assert "3. Neither the name" in li.LICENCES["BSD-3-Clause"]
+    got = {r["doc_id"]: r["licence"] for r in li.scan_licences(documents([(k, li.LICENCES[n], "en", "s") for k, n in enumerate(names)])).collect()}
+    assert got == dict(enumerate(names))
+
+
 def test_column_and_python_normalisation_agree(spark, documents):
     texts = [*li.LICENCES.values(), "Per cent of the licence; authorised WHILE © x\ncopyright line\n (C) me\nrest ", "", "ÄÖ 漢", "a_b-c"]
     table = documents([(k, t, "en", "s") for k, t in enumerate(texts)])
