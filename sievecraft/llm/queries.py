@@ -153,17 +153,17 @@ SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ba
        NOT base_failed AND NOT EXISTS (SELECT 1 FROM bad WHERE bad.source IS NOT DISTINCT FROM f.source) AS kept FROM f""",
     "op6_lm_score": f"""
 WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
-tok AS (SELECT doc_id, p, w[p] AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM w)),
-cnt AS (SELECT x, count(*) AS n FROM tok GROUP BY x),
-voc AS (SELECT x FROM cnt WHERE n >= 2),
-t2 AS (SELECT doc_id, p, CASE WHEN voc.x IS NULL THEN ' other' ELSE tok.x END AS x FROM tok LEFT JOIN voc ON tok.x = voc.x),
-uni AS (SELECT x, count(*) AS n FROM t2 GROUP BY x UNION ALL SELECT ' start', (SELECT count(DISTINCT doc_id) FROM documents)),
-tot AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM tok),
-bi AS (SELECT doc_id, coalesce(lag(x) OVER (PARTITION BY doc_id ORDER BY p), ' start') AS v, x FROM t2),
-own AS (SELECT doc_id, v, x, count(*) AS n FROM bi GROUP BY doc_id, v, x),
-al AS (SELECT v, x, sum(n) AS n FROM own GROUP BY v, x),
-s AS (SELECT own.doc_id, own.n, al.n > own.n AS seen, CASE WHEN al.n > own.n THEN ln((al.n - own.n) / uv.n) ELSE ln(0.4 * ux.n / tot.n) END AS l
-      FROM own JOIN al ON own.v = al.v AND own.x = al.x JOIN uni uv ON own.v = uv.x JOIN uni ux ON own.x = ux.x, tot),
+tok AS (SELECT doc_id, CASE WHEN p = 1 THEN '' ELSE w[p - 1] END AS v, w[p] AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM w)),
+ou AS (SELECT doc_id, x, count(*) AS n FROM (SELECT doc_id, x FROM tok UNION ALL SELECT doc_id, '' FROM w WHERE len(w) > 0) GROUP BY doc_id, x),
+au AS (SELECT x, sum(n) AS n FROM ou GROUP BY x),
+ob AS (SELECT doc_id, v, x, count(*) AS n FROM tok GROUP BY doc_id, v, x),
+ab AS (SELECT v, x, sum(n) AS n FROM ob GROUP BY v, x),
+tot AS (SELECT count(*) AS n FROM tok),
+doc AS (SELECT doc_id, count(*) AS n FROM tok GROUP BY doc_id),
+s AS (SELECT ob.doc_id, ob.n, ab.n > ob.n AS seen,
+        CASE WHEN ab.n > ob.n THEN ln((ab.n - ob.n) / (av.n - ov.n)) WHEN ax.n > ox.n THEN ln(0.4 * (ax.n - ox.n) / greatest(tot.n - doc.n, 1)) ELSE ln(0.4 * 0.4 / greatest(tot.n - doc.n, 1)) END AS l
+      FROM ob JOIN ab ON ob.v = ab.v AND ob.x = ab.x JOIN ou ov ON ob.doc_id = ov.doc_id AND ob.v = ov.x JOIN ou ox ON ob.doc_id = ox.doc_id AND ob.x = ox.x
+      JOIN au av ON ob.v = av.x JOIN au ax ON ob.x = ax.x JOIN doc ON ob.doc_id = doc.doc_id, tot),
 g AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_words, CAST(sum(n * CAST(seen AS INT)) AS BIGINT) AS n_seen, sum(n * l) AS l FROM s GROUP BY doc_id)
 SELECT w.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_seen, 0) AS n_seen, round(coalesce(l, 0.0), 4) AS log_score, round(l / n_words, 6) AS mean_log_score
 FROM w LEFT JOIN g ON w.doc_id = g.doc_id""",

@@ -4,27 +4,32 @@ import math
 import random
 from collections import Counter
 
+import pytest
+
 from sievecraft.llm import lm_score as lm
 
 
-def brute(docs, limit, min_count=2, backoff=0.4):
-    own = {i: (t or "").lower().split() for i, t in docs}
-    uni = Counter(w for x in own.values() for w in x)
-    least = min_count
-    while sum(n >= least for n in uni.values()) > limit:
-        least += 1
-    name = lambda w: w if uni[w] >= least else None
-    counts, pairs, mine = Counter({"<s>": len(own)}), Counter(), {}
-    for i, x in own.items():
-        y = ["<s>"] + [name(w) for w in x]
-        counts.update(y[1:])
-        mine[i] = Counter(zip(y, y[1:], strict=False))
-        pairs.update(mine[i])
-    total = sum(map(len, own.values()))
+def brute(rows, backoff=0.4):
+    """id -> (n_words, n_seen, log_score), each document against counts of the others."""
+    words, pairs, total = {}, {}, 0
+    for i, t in rows:
+        own = (t or "").lower().split()
+        words.setdefault(i, Counter()).update((["<s>"] if own else []) + own)
+        pairs.setdefault(i, Counter()).update(zip(["<s>", *own], own, strict=False))
+        total += len(own)
+    all_words, all_pairs = Counter(), Counter()
+    for i in words:
+        all_words.update(words[i])
+        all_pairs.update(pairs[i])
     out = {}
-    for i, m in mine.items():
-        seen = [(n, pairs[b] - n, b) for b, n in m.items()]
-        out[i] = (len(own[i]), sum(n for n, o, _ in seen if o), sum(n * (math.log(o / counts[b[0]]) if o else math.log(backoff * counts[b[1]] / total)) for n, o, b in seen))
+    for i, mine in pairs.items():
+        n = max(1, total - mine.total())
+        seen, score = 0, 0.0
+        for (v, w), k in mine.items():
+            both, before, word = all_pairs[v, w] - k, all_words[v] - words[i][v], all_words[w] - words[i][w]
+            seen += k * (both > 0)
+            score += k * math.log(both / before if both else backoff * word / n if word else backoff**2 / n)
+        out[i] = (mine.total(), seen, score)
     return out
 
 
@@ -34,10 +39,10 @@ def corpus(n=150):
     return [(k, " ".join(rng.choices(words, k=rng.randrange(0, 60)) + ["Hot"] * (k % 7) + ["the", "end"])) for k in range(n)]
 
 
-def check(spark, docs, **how):
+def check(spark, docs, parts=None, **how):
     table = spark.createDataFrame([(i, t, 1) for i, t in docs], "doc_id long, text string, n_words int")
-    got = {r["doc_id"]: r for r in lm.score_documents(table, **how).collect()}
-    want = brute(docs, how.get("limit", lm.VOCABULARY))
+    got = {r["doc_id"]: r for r in lm.score_documents(table.repartition(parts) if parts else table, **how).collect()}
+    want = brute(docs)
     assert got.keys() == want.keys()
     for i, (n, seen, score) in want.items():
         assert (got[i]["n_words"], got[i]["n_seen"]) == (n, seen)
@@ -45,54 +50,38 @@ def check(spark, docs, **how):
         assert (got[i]["mean_log_score"] is None) == (n == 0)
 
 
-def test_matches_brute_force(spark):
-    check(spark, corpus())
-
+@pytest.mark.parametrize("bucket", [lm.BUCKET, 40])
+def test_matches_brute_force(spark, bucket):
+    check(spark, corpus(), bucket=bucket)
 
-def test_many_buckets_and_split_hot_ones(spark):
-    check(spark, corpus(), bucket=40)
 
+def test_many_chunks(spark):
+    check(spark, corpus(60), parts=13, bucket=100)
 
-def test_bounded_vocabulary_may_only_shrink_to_a_count(spark):
-    docs = corpus()
-    words = lm.vocabulary(spark.createDataFrame([(i, t.encode()) for i, t in docs], "id long, text binary"), limit=20)
-    counts = Counter(w for _, t in docs for w in t.lower().split())
-    assert 0 < len(words.hashes) <= 20 and words.counts[2:].min() >= 2
-    assert words.counts[1] + words.counts[2:].sum() == sum(counts.values()) == words.total
 
-
-def test_vocabulary_has_no_bound(spark):
-    names = [f"r{k}" for k in range(270_000)]  # more words than 2^18, twice each
-    docs = [(k, " ".join(names[k * 9000 : (k + 1) * 9000])) for k in range(30)] + [(30 + k, " ".join(names[k::7])) for k in range(7)]
-    got = {r["doc_id"]: r for r in lm.score_documents(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
-    for i, (n, seen, score) in brute(docs, 1 << 62).items():
-        assert (got[i]["n_words"], got[i]["n_seen"]) == (n, seen)
-        assert math.isclose(got[i]["log_score"], score, rel_tol=1e-9)
+def test_many_words(spark):
+    names = [f"r{k}" for k in range(270_000)]
+    check(spark, [(k, " ".join(names[k * 9000 : (k + 1) * 9000])) for k in range(30)] + [(30 + k, " ".join(names[k::7])) for k in range(7)])
 
 
 def test_rows_of_one_id_are_one_document(spark):
-    rows = [(4, "same text here"), (5, "same text"), (4, "same text here"), (6, "other words here"), (None, "only null"), (4, "same text here"), (None, "only null"), (7, ""), (7, "text here")]
-    uni, pairs, mine = Counter(), Counter(), {}
-    for i, t in rows:
-        mine.setdefault(i, Counter()).update(zip(["<s>", *t.split()], t.split(), strict=False))
-        uni.update(t.split())
-    total = uni.total()
-    assert [w for w in uni if uni[w] < 2] == ["other", "words"]  # the words outside the vocabulary
-    name = lambda w: "" if w in ("other", "words") else w
-    for i, m in mine.items():
-        merged = Counter()
-        for (v, w), n in m.items():
-            merged[name(v), name(w)] += n
-        mine[i] = merged
-        pairs.update(merged)
-    uni.update({"": 2, "<s>": len(mine)})
+    rows = [(4, "same text here"), (5, "same text"), (4, "same text here"), (6, "other words here"), (None, "only null"), (4, "same text here"), (None, "only null"), (7, ""), (7, "text here"), (8, None)]
     for parts in (1, 5):
-        got = {r["doc_id"]: r for r in lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts), bucket=4).collect()}
-        assert got.keys() == mine.keys()
-        for i, m in mine.items():
-            assert (got[i]["n_words"], got[i]["n_seen"]) == (m.total(), sum(n for b, n in m.items() if pairs[b] > n))
-            score = sum(n * (math.log((pairs[b] - n) / uni[b[0]]) if pairs[b] > n else math.log(0.4 * uni[b[1]] / total)) for b, n in m.items())
-            assert math.isclose(got[i]["log_score"], score, rel_tol=1e-9, abs_tol=1e-9)
+        check(spark, rows, parts=parts, bucket=4)
+
+
+def test_noise_scores_below_rare_words_below_ordinary_text(spark):
+    rng = random.Random(3)
+    common, rare = [f"c{k}" for k in range(300)], [f"q{k}" for k in range(400)]
+    docs = [(k, " ".join(rng.choices(common, k=79) + [rare[k], rare[k + 200]])) for k in range(200)] + [(200 + k, " ".join(rng.sample(rare, 80))) for k in range(4)]
+    docs += [(300 + k, " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=9)) for _ in range(80))) for k in range(4)]
+    got = {r["doc_id"]: r["mean_log_score"] for r in lm.score_documents(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    ordinary, unusual, noise = ([v for k, v in got.items() if a <= k < b] for a, b in ((0, 200), (200, 300), (300, 400)))
+    assert min(ordinary) > max(unusual) > min(unusual) > max(noise)
+
+
+def test_single_document(spark):
+    check(spark, [(1, "all by itself")])
 
 
 def test_odd_rows_and_empty_tables(odd, empty):
@@ -107,4 +96,5 @@ def test_packing_round_trip():
     import numpy as np
 
     x = np.array([0, 1, 255, 256, 2**40, 2**47 + 3])
-    assert (lm._unpack(lm._pack(x, 6), 6) == x).all() and (lm._unpack_sorted(lm._pack_sorted(x)) == x).all()
+    y = np.array([3, 2**63, 2**64 - 2], dtype=np.uint64)
+    assert (lm._unpack(lm._pack(x, 6), 6) == x).all() and (lm._unpack_sorted(lm._pack_sorted(y)) == y).all()
