@@ -40,11 +40,11 @@ from .common import small_batches, utf8
 
 BACKOFF = 0.4
 #: Words or bigrams that one group of rows holds, about.
-BUCKET = 2_000_000
+BUCKET = 1_000_000
 #: Bytes of text and documents that a chunk holds, about.
 CHUNK_BYTES, CHUNK_DOCS = 2_500_000, 1 << 16
 #: Rows of chunks in an Arrow batch, and chunks that a task of the last steps reads, about.
-CHUNK_ROWS, TASK_CHUNKS = 8, 16
+CHUNK_ROWS, TASK_CHUNKS = 4, 8
 _NULL_ID = -(1 << 63)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Stands before a text's first word; no word is empty.
