@@ -1,15 +1,22 @@
 """Main text of HTML pages by tree scoring.
 
-Every paragraph passes points for its length and commas to its ancestors, a container's points are discounted by the
-share of its text that stands in links, and the container with most points is kept with those siblings that look like
-it. Navigation, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments are left out first.
+Every paragraph passes points for its length and commas to all its ancestors, and an element's points are discounted by
+the share of its text that stands in links. From the root, the best container is the lowest element that still holds
+most of the points of the one above it; siblings that look like it are kept with it. Navigation, headers, footers,
+sidebars, notices, adverts, forms, scripts, styles and comments are left out first: by element, role or hidden state,
+and by class or id where all words of one name say so (``site-footer``, ``cookie-banner``, but not ``entry-header`` or
+``search-algorithms``), unless the element wraps the article itself. Words that may as well name a part of an article
+(``discussion``, ``search``) count only where the element's text is mostly links.
 
 Nulls: a null or empty page has an empty text. Broken pages (open tags, cut ends) are read to their end; a tag that the
-end cuts off is dropped. Pages are read one by one, so repeated rows and hot hosts need no care, and nothing is shuffled.
+end cuts off is dropped. Reading takes time in proportion to a page's length, whatever its markup; no length is cut.
+Pages are read one by one, so repeated rows and hot hosts need no care, and nothing is shuffled. An empty table gives an
+empty result; a column of the output's name is replaced, others are passed on.
 """
 
 from __future__ import annotations
 
+import bisect
 import html
 import re
 from collections.abc import Iterator
@@ -22,24 +29,35 @@ from pyspark.sql import types as T
 from .common import small_batches
 
 # Element names of the HTML standard and words that sites use in class and id attributes.
-RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "svg", "math", "canvas", "object", "video", "audio", "title", "select", "noembed", "noframes", "xmp"}
+RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "svg", "canvas", "object", "video", "audio", "title", "select", "noembed", "noframes"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = {
     "address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form",
     "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "option", "p", "pre", "section", "summary", "table",
-    "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
+    "tbody", "td", "tfoot", "th", "thead", "tr", "ul", "xmp",
 }
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: Elements that hold text themselves and are no container of an article.
+TEXTUAL = HEADINGS | {"p", "pre", "xmp", "li", "blockquote", "dd", "dt", "figcaption", "caption", "th", "summary", "address"}
 DROP = {"nav", "footer", "aside", "form", "menu", "dialog", "button", "fieldset", "label", "legend", "option", "head"}
 DROP_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alertdialog", "alert", "menu", "menubar", "toolbar", "tablist", "status"}
-DROP_WORDS = {
-    "ad", "ads", "adbox", "adslot", "adsense", "advert", "adverts", "advertisement", "advertisements", "advertising", "advertorial", "sponsor", "sponsored", "sponsors", "promo", "promos", "promoted", "promotion",
-    "banner", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "notification", "alert", "popup", "modal", "overlay", "interstitial", "paywall",
-    "newsletter", "subscribe", "subscription", "signup", "signin", "login", "register", "social", "share", "sharing", "shares", "related", "recommended", "recommendations", "trending", "popular",
-    "comment", "comments", "commentlist", "disqus", "respond", "reply", "replies", "discussion", "breadcrumb", "breadcrumbs", "pagination", "pager", "sidebar", "sidebars", "rail",
-    "nav", "navbar", "navigation", "menu", "menus", "submenu", "footer", "masthead", "header", "topbar", "toolbar", "widget", "widgets", "search", "skip", "tagcloud", "copyright", "disclaimer",
+FURNITURE = {
+    "ad", "ads", "adbox", "adslot", "adsense", "advert", "adverts", "advertisement", "advertisements", "advertising", "sponsor", "sponsored", "sponsors", "promo", "promos", "promoted",
+    "banner", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "notification", "notifications", "popup", "modal", "overlay", "interstitial", "paywall",
+    "newsletter", "subscribe", "signup", "signin", "login", "breadcrumb", "breadcrumbs", "pagination", "pager", "sidebar", "sidebars", "nav", "navbar", "navigation", "menu", "menus", "submenu",
+    "footer", "masthead", "header", "topbar", "toolbar", "widget", "widgets", "tagcloud",
 }
-REPLY_WORDS = {"comment", "comments", "reply", "replies", "ad", "ads", "advert", "advertisement", "sponsored", "promo", "related", "recommended"}
-CONTENT_WORDS = {"article", "content", "post", "entry", "story", "body", "text"}
+REPLIES = {"comment", "comments", "commentlist", "disqus", "respond", "reply", "replies"}
+ADVERTS = {"ad", "ads", "adbox", "adslot", "adsense", "advert", "adverts", "advertisement", "advertisements", "advertising", "sponsor", "sponsored", "sponsors", "promo", "promos", "promoted"}
+#: Count only where the text is mostly links.
+UNSURE = {"discussion", "search", "related", "recommended", "recommendations", "trending", "popular", "social", "share", "sharing", "shares", "copyright", "disclaimer", "register", "subscription", "promotion", "alert", "rail", "skip", "links"}
+#: Words that say where or how large, not what.
+PLAIN = {
+    "site", "page", "main", "top", "bottom", "left", "right", "upper", "lower", "first", "last", "primary", "secondary", "global", "fixed", "sticky", "mobile", "desktop", "list", "item", "items", "box", "wrap", "wrapper",
+    "container", "inner", "outer", "area", "section", "block", "panel", "holder", "row", "col", "column", "bar", "unit", "slot", "group", "module", "region", "zone", "small", "big", "large", "mini", "form", "link", "links",
+    "title", "text", "content", "message", "policy", "user", "users", "reader", "readers", "js", "the", "is", "has", "no", "new", "tree", "thread", "feed",
+}
+CONTENT = {"article", "content", "post", "entry", "story", "body", "text"}
 
 _CLOSED_BY = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"tr", "td", "th", "thead", "tbody"},
@@ -56,175 +74,203 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 #: A paragraph counts from this many characters.
 LEAST_CHARS = 25
+#: Share of an element's points that a child must hold to be a better container.
+MOST = 0.7
+#: Share of link text from which an element is a list of links.
+LINKED = 0.33
 
 
 class _Node:
-    __slots__ = ("chars", "end", "links", "name", "parent", "points", "tokens", "dropped")
-
-    def __init__(self, name: str, parent: int, tokens: frozenset, dropped: bool):
-        self.name, self.parent, self.tokens, self.dropped = name, parent, tokens, dropped
-        self.points, self.chars, self.links, self.end = 0.0, 0, 0, -1
-
-
-def _marks(rest: str) -> tuple[frozenset, bool]:
-    """Words of class and id; whether an attribute hides the element or gives it the role of page furniture."""
-    words, hide = set(), False
+    __slots__ = ("chars", "dropped", "end", "heads", "kind", "links", "name", "parent", "para", "points")
+
+    def __init__(self, name: str, parent: int, kind: str, dropped: bool):
+        self.name, self.parent, self.kind, self.dropped = name, parent, kind, dropped
+        self.points, self.chars, self.links, self.heads, self.para, self.end = 0.0, 0, 0, 0, 0, -1
+
+
+def _kind(value: str) -> str:
+    """What a class or id says: "replies", "furniture", "unsure" (furniture if mostly links) or nothing. Each name counts
+    as a whole: all its words must be furniture or plain, but for comments and adverts of an article (``post-comments``)."""
+    found = ""
+    for name in value.split():
+        words = [w.lower() for w in _WORDS.findall(name)]
+        own = [w for w in words if w not in PLAIN] or words
+        said = set(own)
+        if not own:
+            continue
+        if own[-1] in REPLIES | ADVERTS and said <= REPLIES | ADVERTS | FURNITURE | CONTENT:
+            return "replies"
+        if said <= FURNITURE | REPLIES:
+            found = "furniture"
+        elif said <= UNSURE | FURNITURE | REPLIES and not found:
+            found = "unsure"
+    return found
+
+
+def _marks(rest: str) -> tuple[str, bool]:
+    """What class and id say; whether an attribute hides the element or gives it the role of page furniture."""
+    kind, hide = "", False
     if rest and rest != "/":
         for m in _ATTRIBUTE.finditer(rest):
             key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if key in ("class", "id"):
-                words.update(w.lower() for w in _WORDS.findall(value))
+                said = _kind(value)
+                kind = said if said == "replies" or not kind or (kind == "unsure" and said) else kind
             elif key == "role":
                 hide |= value.strip().lower() in DROP_ROLES
             elif key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and _HIDDEN.search(value)):
                 hide = True
-    return frozenset(words), hide
+    return kind, hide
+
 
+class _Reader:
+    """Nodes in page order, and blocks (node, text, characters in links), in one pass. Open elements are found by name
+    and by kind from lists of stack positions, never by a walk down the stack."""
 
-def _read(page: str) -> tuple[list[_Node], list[tuple[int, str, int]]]:
-    """Nodes in page order, and blocks (node, text, characters in links)."""
-    nodes = [_Node("#root", -1, frozenset(), False)]
-    stack, blocks, parts = [0], [], []
-    inside_article = 0
-    link = 0
-    at, size = 0, len(page)
+    def __init__(self, page: str):
+        self.page = page
+        self.nodes = [_Node("#root", -1, "", False)]
+        self.stack, self.blocks, self.parts = [0], [], []
+        self.open: dict[str, list[int]] = {}
+        self.open_blocks: list[int] = []
 
-    def flush() -> None:
-        if parts:
-            text = " ".join("".join(x for x, _ in parts).split())
+    def flush(self) -> None:
+        if self.parts:
+            text = " ".join("".join(x for x, _ in self.parts).split())
             if text:
-                blocks.append((stack[-1] if nodes[stack[-1]].name in BLOCK else block_of(), text, sum(len("".join(x.split())) for x, linked in parts if linked)))
-            parts.clear()
-
-    def block_of() -> int:
-        return next((k for k in reversed(stack) if nodes[k].name in BLOCK), 0)
-
-    def pop(to: int) -> None:
-        """Close the stack's elements from position ``to`` on."""
-        nonlocal inside_article, link
-        while len(stack) > to:
-            k = stack.pop()
-            nodes[k].end = len(nodes)
-            inside_article -= nodes[k].name in ("article", "main")
-            link -= nodes[k].name == "a"
-
-    while at < size:
-        m = _TOKEN.match(page, at)
-        at = m.end()
-        if m["text"] is not None:
-            parts.append((html.unescape(m["text"]), link > 0))
-            continue
-        name = (m["name"] or m["loose"] or "").lower()
-        if name:
-            rest = m["rest"] if m["name"] else m["looserest"]
-            if name in RAW:
-                if not rest.endswith("/") or name not in ("svg", "math"):
-                    close = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>|</{re.escape(name)}\Z", re.I).search(page, at)
-                    at = close.end() if close else size
-                continue
-            if name == "br":
-                parts.append((" ", False))
-                continue
-            if name in VOID:
-                if name == "hr":
-                    flush()
-                continue
-            if name in BLOCK:
-                flush()
-                for p in range(len(stack) - 1, 0, -1):  # a block ends an open paragraph
-                    if nodes[stack[p]].name == "p":
-                        pop(p)
-                        break
-                    if nodes[stack[p]].name in BLOCK:
-                        break
-            if name in _CLOSED_BY:
-                shut = None
-                for p in range(len(stack) - 1, 0, -1):
-                    if nodes[stack[p]].name in _FENCE[name]:
-                        break
-                    if nodes[stack[p]].name in _CLOSED_BY[name]:
-                        shut = p
-                if shut:
-                    pop(shut)
-            words, hide = _marks(rest)
-            up = nodes[stack[-1]]
-            drop = up.dropped or hide or name in DROP or (name == "header" and not inside_article)
-            nodes.append(_Node(name, stack[-1], words, drop))
-            if not rest.endswith("/") or name in BLOCK:
-                stack.append(len(nodes) - 1)
-                inside_article += name in ("article", "main")
-                link += name == "a"
-            else:
-                nodes[-1].end = len(nodes)
-            continue
-        name = (m["end"] or "").lower()
-        if name == "p" and not any(nodes[k].name == "p" for k in stack):
-            flush()
-            continue
-        if name:
-            if name in BLOCK:
-                flush()
-            for p in range(len(stack) - 1, 0, -1):
-                if nodes[stack[p]].name == name:
-                    pop(p)
-                    break
-                if name not in BLOCK and nodes[stack[p]].name in BLOCK:
-                    break
-    flush()
-    pop(0)
-    return nodes, blocks
-
-
-def _named(x: _Node) -> bool:
-    """Whether class or id names page furniture."""
-    return bool(x.tokens) and x.name not in ("html", "body", "main") and bool(x.tokens & (REPLY_WORDS if x.name == "article" else DROP_WORDS))
-
-
-def _beside(nodes: list[_Node], blocks: list[tuple[int, str, int]], chars: list[int], k: int) -> bool:
-    """Whether the page's text stands beside ``k``, which is no wrapper of it: paragraphs of an article or main, or, for
-    comments and adverts that aren't named as content too, of any container."""
-    if any(x.name in ("article", "main") and c and not x.dropped and not _named(x) for x, c in zip(nodes[k + 1 : nodes[k].end], chars[k + 1 : nodes[k].end], strict=True)):
-        return False
-    anywhere = nodes[k].tokens & REPLY_WORDS and not nodes[k].tokens & CONTENT_WORDS
-    for at, text, _ in blocks:
-        if nodes[at].dropped or k <= at < nodes[k].end or len(text) < LEAST_CHARS or nodes[at].name[0] == "h":
-            continue
-        inside = False
-        while at >= 0:
-            x = nodes[at]
-            if _named(x) and not at <= k < x.end:
-                break
-            inside |= x.name in ("article", "main")
-            at = x.parent
+                at = self.stack[self.open_blocks[-1]] if self.open_blocks else 0
+                self.blocks.append((at, text, sum(len("".join(x.split())) for x, linked in self.parts if linked)))
+            self.parts.clear()
+
+    def push(self, node: _Node) -> None:
+        self.nodes.append(node)
+        self.open.setdefault(node.name, []).append(len(self.stack))
+        if node.name in BLOCK:
+            self.open_blocks.append(len(self.stack))
+        self.stack.append(len(self.nodes) - 1)
+
+    def pop(self, to: int) -> None:
+        """Close the open elements from stack position ``to`` on."""
+        while len(self.stack) > to:
+            x = self.nodes[self.stack.pop()]
+            x.end = len(self.nodes)
+            if self.stack:
+                self.open[x.name].pop()
+                if x.name in BLOCK:
+                    self.open_blocks.pop()
+
+    def last(self, names: set[str]) -> int:
+        """Stack position of the innermost open element of these names, 0 if none is open."""
+        return max((own[-1] for x in names if (own := self.open.get(x))), default=0)
+
+    def start(self, name: str, rest: str) -> None:
+        if name in BLOCK:
+            self.flush()
+            if self.open_blocks and self.nodes[self.stack[self.open_blocks[-1]]].name == "p":
+                self.pop(self.open_blocks[-1])  # a block ends an open paragraph
+        if name in _CLOSED_BY:
+            fence = self.last(_FENCE[name])
+            inside = [own[k] for x in _CLOSED_BY[name] if (own := self.open.get(x)) and (k := bisect.bisect_right(own, fence)) < len(own)]
+            if inside:
+                self.pop(min(inside))
+        kind, hide = _marks(rest)
+        drop = self.nodes[self.stack[-1]].dropped or hide or name in DROP or (name == "header" and not self.open.get("article") and not self.open.get("main"))
+        node = _Node(name, self.stack[-1], kind, drop)
+        if not rest.endswith("/") or name in BLOCK:
+            self.push(node)
         else:
-            if inside or anywhere:
-                return True
-    return False
-
-
-def _furniture(nodes: list[_Node], blocks: list[tuple[int, str, int]], chars: list[int], total: int) -> None:
-    """Mark elements whose class or id names page furniture, unless they hold most of the page and no text is beside them."""
+            self.nodes.append(node)
+            node.end = len(self.nodes)
+
+    def finish(self, name: str) -> None:
+        own = self.open.get(name)
+        if name in BLOCK:
+            self.flush()
+        if own and (name in BLOCK or not self.open_blocks or own[-1] > self.open_blocks[-1]):
+            self.pop(own[-1])
+
+    def skip(self, name: str, at: int) -> int:
+        """Where an element of raw text ends."""
+        close = re.compile(rf"</{re.escape(name)}(?=[\s/>])|</{re.escape(name)}\Z", re.I).search(self.page, at)
+        end = self.page.find(">", close.end()) if close else -1
+        return end + 1 if end >= 0 else len(self.page)
+
+    def read(self) -> tuple[list[_Node], list[tuple[int, str, int]]]:
+        at, size = 0, len(self.page)
+        while at < size:
+            m = _TOKEN.match(self.page, at)
+            at = m.end()
+            name = (m["name"] or m["loose"] or "").lower()
+            if m["text"] is not None:
+                self.parts.append((html.unescape(m["text"]), bool(self.open.get("a"))))
+            elif name:
+                rest = m["rest"] if m["name"] else m["looserest"]
+                if name in RAW:
+                    if not rest.endswith("/") or name != "svg":
+                        at = self.skip(name, at)
+                elif name == "br":
+                    self.parts.append((" ", False))
+                elif name in VOID:
+                    if name == "hr":
+                        self.flush()
+                else:
+                    self.start(name, rest)
+            elif m["end"]:
+                self.finish(m["end"].lower())
+        self.flush()
+        self.pop(0)
+        return self.nodes, self.blocks
+
+
+def _leave_out(nodes: list[_Node], blocks: list[tuple[int, str, int]]) -> None:
+    """Mark elements whose class or id names page furniture, unless they wrap the article.
+
+    An element with an article or main inside that isn't furniture itself is a wrapper. Else comments and adverts are
+    left out wherever other text remains, and furniture where it holds at most half of the page's paragraphs or an
+    article or main stands outside.
+    """
+    chars, links, para, within = ([0] * len(nodes) for _ in range(4))
+    for k, text, linked in blocks:
+        if not nodes[k].dropped:
+            chars[k] += len(text)
+            links[k] += linked
+            para[k] += len(text) if len(text) >= LEAST_CHARS and nodes[k].name not in HEADINGS else 0
+    for k in range(len(nodes) - 1, 0, -1):
+        x = nodes[k]
+        within[k] |= x.name in ("article", "main") and chars[k] > 0 and not x.dropped and x.kind != "replies"
+        for sums in (chars, links, para):
+            sums[x.parent] += sums[k]
+        within[x.parent] |= within[k]
+    mark = lambda x: x.kind if x.name not in ("html", "body", "main") else ""
+    named = [mark(x) in ("replies", "furniture") and not (x.name == "article" and x.kind == "furniture") for x in nodes]
+    named = [n and not (within[k] and nodes[k].name != "article") for k, n in enumerate(named)]
+    free_chars, free_article, under = 0, False, [False] * len(nodes)
+    inside = [False] * len(nodes)
     for k, x in enumerate(nodes):
-        if x.dropped or x.parent < 0:
+        if k:
+            under[k] = named[k] or under[x.parent]
+            inside[k] = inside[x.parent] or x.name in ("article", "main")
+    for k, text, _ in blocks:
+        if not nodes[k].dropped and not under[k] and len(text) >= LEAST_CHARS and nodes[k].name not in HEADINGS:
+            free_chars += len(text)
+            free_article |= inside[k]
+    for k, x in enumerate(nodes):
+        if not k or x.dropped:
             continue
         if nodes[x.parent].dropped:
             x.dropped = True
-        elif _named(x) and (chars[k] * 2 <= total or _beside(nodes, blocks, chars, k)):
-            x.dropped = True
+        elif named[k]:
+            x.dropped = bool(free_chars) if x.kind == "replies" else para[k] * 2 <= para[0] or free_article
+        elif x.kind == "unsure" and x.name not in ("html", "body", "main", "article"):
+            x.dropped = links[k] > LINKED * chars[k]
 
 
 def main_text(page: str | None) -> str:
     """Blocks of the main text, joined by one line feed; empty if the page has none."""
     if not page:
         return ""
-    nodes, blocks = _read(page)
-    chars = [0] * len(nodes)
-    for k, text, _ in blocks:
-        if not nodes[k].dropped:
-            chars[k] += len(text)
-    for k in range(len(nodes) - 1, 0, -1):
-        chars[nodes[k].parent] += chars[k]
-    _furniture(nodes, blocks, chars, chars[0])
+    nodes, blocks = _Reader(page).read()
+    _leave_out(nodes, blocks)
     kept = [(k, text, linked) for k, text, linked in blocks if not nodes[k].dropped]
     if not kept:
         return ""
@@ -232,36 +278,55 @@ def main_text(page: str | None) -> str:
         x = nodes[k]
         x.chars += len(text)
         x.links += linked
-        if len(text) >= LEAST_CHARS and x.name[0] != "h":
-            points = 1 + text.count(",") + text.count("，") + text.count("、") + min(len(text) / 100, 3)
-            up, share = k if x.name not in ("p", "pre", "td", "li", "blockquote", "dd") else x.parent, 1.0
-            for _ in range(3):
-                if up < 0:
-                    break
-                nodes[up].points += points * share
-                up, share = nodes[up].parent, share / 2
+        if x.name in HEADINGS:
+            x.heads += len(text)
+        elif len(text) >= LEAST_CHARS:
+            x.points += 1 + text.count(",") + text.count("，") + text.count("、") + min(len(text) / 100, 3)
+    own = [x.points if x.name not in TEXTUAL else 0.0 for x in nodes]
     for k in range(len(nodes) - 1, 0, -1):
-        nodes[nodes[k].parent].chars += nodes[k].chars
-        nodes[nodes[k].parent].links += nodes[k].links
+        up, x = nodes[nodes[k].parent], nodes[k]
+        for part in ("points", "chars", "links", "heads"):
+            setattr(up, part, getattr(up, part) + getattr(x, part))
 
     def score(k: int) -> float:
-        x = nodes[k]
-        bonus = 25.0 if x.name in ("article", "main") else 5.0 if x.tokens & CONTENT_WORDS else 0.0
-        return (x.points + bonus) * (1 - x.links / max(1, x.chars)) if x.chars else 0.0
-
-    best = max((k for k in range(len(nodes)) if not nodes[k].dropped and (nodes[k].name in BLOCK or not k)), key=lambda k: (score(k), -k))
-    if nodes[best].points == 0 and nodes[best].name not in ("article", "main"):
-        best = 0  # no paragraph at all: all that is left
-    keep = {best}
+        return nodes[k].points * (1 - nodes[k].links / max(1, nodes[k].chars))
+
+    children: dict[int, list[int]] = {}
+    for k in range(1, len(nodes)):
+        if not nodes[k].dropped and nodes[k].chars:
+            children.setdefault(nodes[k].parent, []).append(k)
+    best, at = 0, 0
+    while True:
+        inner = [c for c in children.get(at, ()) if nodes[c].name not in TEXTUAL]
+        if not inner:
+            break
+        top = max(inner, key=lambda c: (score(c), -c))
+        # An article or main needs only most of the points; an article of few words is one by its name.
+        named = [c for c in inner if nodes[c].name in ("article", "main") and (2 * score(c) >= score(at) or not score(at))]
+        if len(named) == 1:
+            top = named[0]
+        elif not score(at) or score(top) < MOST * score(at) or own[at] > (1 - MOST) * score(at):
+            break
+        at = top
+        if nodes[at].name in BLOCK:
+            best = at
+    keep = [best]
     if best:
         least = max(10.0, 0.2 * score(best))
-        for k, x in enumerate(nodes):
-            if x.parent == nodes[best].parent and k != best and not x.dropped and x.chars:
-                thin = x.links / x.chars < 0.25
-                if score(k) >= least or (x.name in ("p", "blockquote", "pre") and thin and x.chars > 80) or (x.name == "h1" and thin):
-                    keep.add(k)
-    spans = [(k, nodes[k].end) for k in sorted(keep)]
-    return "\n".join(text for k, text, _ in kept if any(a <= k < b for a, b in spans))
+        for k in children.get(nodes[best].parent, ()):
+            x = nodes[k]
+            thin = x.links <= LINKED * x.chars
+            title = k < best and thin and x.heads == x.chars
+            if k != best and thin and (score(k) >= least or x.name in ("p", "blockquote", "pre", "h1") or title):
+                keep.append(k)
+    out, spans = [], sorted((k, nodes[k].end) for k in keep)
+    turn = 0
+    for k, text, _ in kept:
+        while turn < len(spans) and spans[turn][1] <= k:
+            turn += 1
+        if turn < len(spans) and spans[turn][0] <= k:
+            out.append(text)
+    return "\n".join(out)
 
 
 @F.pandas_udf(T.StringType())
