@@ -244,15 +244,15 @@ def _leave_out(nodes: list[_Node], blocks: list[tuple[int, str, int]]) -> None:
     mark = lambda x: x.kind if x.name not in ("html", "body", "main") else ""
     named = [mark(x) in ("replies", "furniture") and not (x.name == "article" and x.kind == "furniture") for x in nodes]
     named = [n and not (within[k] and nodes[k].name != "article") for k, n in enumerate(named)]
-    free_chars, free_article, under = 0, False, [False] * len(nodes)
+    free, free_article, under = False, False, [False] * len(nodes)
     inside = [False] * len(nodes)
     for k, x in enumerate(nodes):
         if k:
             under[k] = named[k] or under[x.parent]
             inside[k] = inside[x.parent] or x.name in ("article", "main")
-    for k, text, _ in blocks:
-        if not nodes[k].dropped and not under[k] and len(text) >= LEAST_CHARS and nodes[k].name not in HEADINGS:
-            free_chars += len(text)
+    for k, _, _ in blocks:
+        if not nodes[k].dropped and not under[k]:
+            free = True
             free_article |= inside[k]
     for k, x in enumerate(nodes):
         if not k or x.dropped:
@@ -260,7 +260,7 @@ def _leave_out(nodes: list[_Node], blocks: list[tuple[int, str, int]]) -> None:
         if nodes[x.parent].dropped:
             x.dropped = True
         elif named[k]:
-            x.dropped = bool(free_chars) if x.kind == "replies" else para[k] * 2 <= para[0] or free_article
+            x.dropped = free if x.kind == "replies" else para[k] * 2 <= para[0] or free_article
         elif x.kind == "unsure" and x.name not in ("html", "body", "main", "article"):
             x.dropped = links[k] > LINKED * chars[k]
 
