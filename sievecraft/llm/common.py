@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 #: Rows that one Arrow batch holds at most: bounds a worker's memory when texts are long.
 BATCH_ROWS = 256
+BATCH_BYTES = 32 << 20
 
 #: Pattern of a word: everything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -14,8 +15,20 @@ GAP = r"[\x20\x09-\x0D]+"
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Let an Arrow batch hold few rows, as texts may be long."""
+    """Let an Arrow batch hold few rows and bytes, as texts may be long.
+
+    The setting stays with the session: results are lazy, so their plans read it after the operator has returned.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
+def free_name(docs: DataFrame, name: str) -> str:
+    """``name``, with underscores until no column of ``docs`` has it, so that a helper column replaces none."""
+    own = {c.lower() for c in docs.columns}
+    while name.lower() in own:
+        name += "_"
+    return name
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
