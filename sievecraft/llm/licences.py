@@ -1,10 +1,14 @@
 """Licence scan by canonical digest: whole texts against known licences.
 
 A text is normalised (case, copyright lines, equivalent spellings, punctuation, white space), hashed, and joined to
-the digests of known licence texts. Names and years of holders don't matter, wording does.
+the digests of known licence texts. Names and years of holders don't matter, wording does, line breaks don't: a
+copyright statement is left out twice, once by line and once by paragraph, as it may be wrapped over several lines or be
+followed by the licence at once. It is one only with a sign or a year, so a wrapped line that begins with "copyright
+notice" stays. The digest by lines is looked up first, then that by paragraphs.
 
 Nulls: a null or empty text, or one that only holds copyright lines, is no licence and has a null digest. Repeated
-rows are looked up one by one. An empty table gives an empty result; an empty licence list matches nothing.
+rows are looked up one by one, whatever their number, and texts of any length are whole. Columns other than id and text
+are ignored. An empty table gives an empty result; an empty licence list matches nothing.
 """
 
 from __future__ import annotations
@@ -104,9 +108,13 @@ SPELLINGS = {
     "while": "whilst",
 }
 
+#: How a copyright statement begins: with a sign, a year or a placeholder; and where a paragraph ends.
+STATEMENT = r"(copyright[ \t]*(\(c\)|©)|copyright[ \t:]+(19|20|<|\[)|©|\(c\)[ \t]*(copyright[ \t]*)?(19|20|<|\[))"
+OPENS = rf"^[\s/*#;-]*({STATEMENT}|all rights reserved)"
+GAP = r"\n[ \t\r]*\n"
 #: Normalising steps, in order; the patterns mean the same to Java, Python and RE2.
 STEPS = (
-    (r"(?m)^[ \t/*#;-]*(copyright|\(c\)|©)[^\n]*$", " "),
+    (rf"(?m)^[ \t/*#;-]*{STATEMENT}[^\n]*$", " "),
     (r"(?m)^[ \t/*#;-]*all rights reserved\.?[ \t\r]*$", " "),
     (r"\(c\)|©", " copyright "),
     (r"https?://", " "),
@@ -115,10 +123,20 @@ STEPS = (
 )
 
 
-def normalise(text: Column) -> Column:
-    """Digits, a-z and single spaces."""
-    out = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    for pattern, to in STEPS[:5]:
+def lower(text: Column) -> Column:
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def without_statements(text: Column) -> Column:
+    """Lower-cased text without the paragraphs that are copyright statements; null for a text that has none."""
+    some = lower(text).rlike(f"(?m){OPENS}")
+    return F.when(some, F.array_join(F.filter(F.split(lower(text), GAP), lambda p: ~p.rlike(OPENS)), "\n"))
+
+
+def normalise(text: Column, first: int = 0) -> Column:
+    """Digits, a-z and single spaces, by the steps from ``first`` on: the first two leave out statements by line."""
+    out = lower(text)
+    for pattern, to in STEPS[first:5]:
         out = F.regexp_replace(out, pattern, to)
     # One pass finds all spellings; few texts hold any, so the others skip the replacements.
     spelled = out
@@ -128,10 +146,10 @@ def normalise(text: Column) -> Column:
     return F.trim(F.when(out.rlike(any_spelling), spelled).otherwise(out))
 
 
-def normalise_text(text: str) -> str:
+def normalise_text(text: str, first: int = 0) -> str:
     """The same in Python, for the known licences and for tests."""
     out = text.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
-    for pattern, to in STEPS:
+    for pattern, to in STEPS[first:]:
         out = re.sub(pattern, to, out)
     return out.strip(" ")
 
@@ -142,16 +160,27 @@ def digests(licences: dict[str, str]) -> dict[str, str]:
     for name, text in licences.items():
         first, _, rest = text.partition("\n")
         for form in [text, rest] if rest and len(first) < 40 else [text]:
-            if norm := normalise_text(form):
-                out.setdefault(hashlib.sha256(norm.encode()).hexdigest(), name)
+            for norm in (normalise_text(form), normalise_text(bare_text(form), 2)):
+                if norm:
+                    out.setdefault(hashlib.sha256(norm.encode()).hexdigest(), name)
     return out
 
 
+def bare_text(text: str) -> str:
+    """Lower-cased text without the paragraphs that are copyright statements."""
+    low = text.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    return "\n".join(p for p in re.split(GAP, low) if not re.search(OPENS, p))
+
+
 def scan_licences(docs: DataFrame, licences: dict[str, str] | None = None, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: id, digest, licence (null if unknown). The list of known digests is a fixed, small table."""
     spark = docs.sparkSession
     known = spark.createDataFrame(list(digests(LICENCES if licences is None else licences).items()), "digest string, licence string")
-    norm = normalise(F.col(text))
-    own = docs.select(F.col(id_col), norm.alias("_norm"))
-    own = own.select(id_col, F.when(F.col("_norm") != "", F.sha2(F.col("_norm"), 256)).alias("digest"))
-    return own.join(F.broadcast(known), "digest", "left").select(id_col, "digest", "licence")
+    own = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
+    own = own.select("id", normalise(F.col("text")).alias("lines"), normalise(without_statements(F.col("text")), 2).alias("parts"))
+    hashed = lambda c: F.when(F.col(c) != "", F.sha2(F.col(c), 256)).alias(c)
+    own = own.select("id", hashed("lines"), hashed("parts"))
+    known, other = known.withColumnRenamed("digest", "lines"), known.select(F.col("digest").alias("parts"), F.col("licence").alias("by_parts"))
+    found = own.join(F.broadcast(known), "lines", "left").join(F.broadcast(other), "parts", "left")
+    by_parts = F.col("licence").isNull() & F.col("by_parts").isNotNull()
+    return found.select(F.col("id").alias(id_col), F.when(by_parts, F.col("parts")).otherwise(F.col("lines")).alias("digest"), F.coalesce("licence", "by_parts").alias("licence"))

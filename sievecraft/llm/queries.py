@@ -105,16 +105,21 @@ _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxy
 
 
 def _licence_sql() -> str:
-    norm = _LOWER.format("text")
-    for pattern, to in licences.STEPS:
-        quoted = pattern.replace("'", "''")
-        norm = f"regexp_replace({norm}, '{quoted}', '{to}', 'g')"
+    def norm(of: str, first: int = 0) -> str:
+        for pattern, to in licences.STEPS[first:]:
+            of = f"regexp_replace({of}, '{pattern}', '{to}', 'g')"
+        return f"trim({of}, ' ')"
+
     known = ", ".join(f"('{d}', '{n}')" for d, n in licences.digests(licences.LICENCES).items())
+    opens = licences.OPENS
     return f"""
-WITH norm AS (SELECT doc_id, trim({norm}, ' ') AS t FROM documents),
-hashed AS (SELECT doc_id, CASE WHEN t <> '' THEN sha256(t) END AS digest FROM norm),
+WITH low AS (SELECT doc_id, {_LOWER.format("text")} AS t FROM documents),
+both_ AS (SELECT doc_id, t, CASE WHEN regexp_matches(t, '(?m){opens}') THEN array_to_string(list_filter(regexp_split_to_array(t, '{licences.GAP}'), lambda p: NOT regexp_matches(p, '{opens}')), chr(10)) END AS b FROM low),
+norm AS (SELECT doc_id, {norm("t")} AS t, {norm("b", 2)} AS b FROM both_),
+hashed AS (SELECT doc_id, CASE WHEN t <> '' THEN sha256(t) END AS t, CASE WHEN b <> '' THEN sha256(b) END AS b FROM norm),
 known(digest, licence) AS (VALUES {known})
-SELECT doc_id, h.digest, licence FROM hashed h LEFT JOIN known k ON h.digest = k.digest"""
+SELECT doc_id, CASE WHEN k.licence IS NULL AND l.licence IS NOT NULL THEN h.b ELSE h.t END AS digest, coalesce(k.licence, l.licence) AS licence
+FROM hashed h LEFT JOIN known k ON h.t = k.digest LEFT JOIN known l ON h.b = l.digest"""
 
 
 ORACLES = {

@@ -29,6 +29,25 @@ def test_common_licences_are_known(documents):
     assert got == dict(enumerate(names))
 
 
+def test_known_texts_wrapped_at_any_width(documents):
+    import textwrap
+
+    rows = []
+    for name, text in li.LICENCES.items():
+        for width in (*range(40, 121, 1 if len(text) < 3000 else 16),):
+            lines = [textwrap.fill(x, width, break_long_words=False) if x.strip() else "" for x in text.split("\n")]
+            rows.append((f"{name} at {width}", "\n".join(lines)))
+    got = li.scan_licences(documents([(k, t, "en", "s") for k, (_, t) in enumerate(rows)])).collect()
+    assert {rows[r["doc_id"]][0] for r in got if r["licence"] != rows[r["doc_id"]][0].split(" at ")[0]} == set()
+
+
+def test_holder_with_and_without_a_gap(documents):
+    grant = li.LICENCES["MIT"].split("\n\n", 2)[2]
+    heads = ["MIT License\n\nCopyright (c) 2019 The Very Long Company Name and\nmany contributors\n\n", "Copyright 2001-2003, 2007 Jane\n", "Copyright © Jane\n\nCopyright: 2020 Joe\nAll rights reserved.\n\n", ""]
+    got = li.scan_licences(documents([(k, h + grant, "en", "s") for k, h in enumerate(heads)])).collect()
+    assert {r["doc_id"]: r["licence"] for r in got} == dict.fromkeys(range(len(heads)), "MIT")
+
+
 def test_column_and_python_normalisation_agree(spark, documents):
     texts = [*li.LICENCES.values(), "Per cent of the licence; authorised WHILE © x\ncopyright line\n (C) me\nrest ", "", "ÄÖ 漢", "a_b-c"]
     table = documents([(k, t, "en", "s") for k, t in enumerate(texts)])
