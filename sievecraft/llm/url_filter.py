@@ -1,7 +1,7 @@
 """URL filters whose block decisions spread over redirects and canonical links.
 
 A rule is (host, path, verdict). It fits its host and all subdomains where the url's path starts with the rule's; the
-longest rule wins. A url without a rule of its own takes the verdict of its class: urls that redirects or canonical
+longest rule wins, of equally long ones the first by name. A url without a rule of its own takes the verdict of its class: urls that redirects or canonical
 links connect. A class with an allowed url is allowed (explicit allow has precedence), else one with a blocked url is
 blocked, else it is allowed. Classes are connected components, found without collecting any link.
 
@@ -31,9 +31,10 @@ from .common import small_batches
 INLINE_RULES = 200
 
 
-_SKIP = re.compile(r"<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>", re.S | re.I)
-_LINK = re.compile(r"<(?:link|meta)\b[^>]*>", re.I)
-_ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
+# An open end runs to the end of the page, and a name is read from its first character only: no page takes quadratic time.
+_SKIP = re.compile(r"<!--.*?(?:-->|\Z)|<script\b.*?(?:</script\s*+>|\Z)|<style\b.*?(?:</style\s*+>|\Z)", re.S | re.I)
+_LINK = re.compile(r"<(?:link|meta)\b[^>]*(?:>|\Z)", re.I)
+_ATTRIBUTE = re.compile(r"""(?<![^\s=/"'>])([^\s=/"'>]++)\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""")
 _REFRESH = re.compile(r"url\s*=\s*['\"]?([^'\"]+)", re.I)
 
 
@@ -90,11 +91,11 @@ def match_rule_table(urls: DataFrame, rules: DataFrame, host: str = "host", path
     Urls of one host share their rules, so a rule set is first gathered per host (a list as long as that host has
     rules), and no url is ever multiplied.
     """
-    rules = rules.select("rule_host", F.struct(F.length(F.concat("rule_host", "rule_path")).alias("size"), F.concat("rule_host", "rule_path").alias("name"), "rule_path", "rule_verdict").alias("r"))
+    rules = rules.select("rule_host", F.struct((-F.length(F.concat("rule_host", "rule_path"))).alias("size"), F.concat("rule_host", "rule_path").alias("name"), "rule_path", "rule_verdict").alias("r"))
     labels = F.split(F.col("h"), r"\.")
     suffix = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.concat_ws(".", F.slice(labels, k, F.size(labels))))
     hosts = urls.select(F.col(host).alias("h")).distinct().withColumn("rule_host", F.explode(suffix))
-    own = hosts.join(rules, "rule_host").groupBy("h").agg(F.sort_array(F.collect_list("r"), asc=False).alias("_rules"))
+    own = hosts.join(rules, "rule_host").groupBy("h").agg(F.sort_array(F.collect_list("r")).alias("_rules"))
     best = F.get(F.filter("_rules", lambda r: F.col(path).startswith(r["rule_path"])), F.lit(0))
     joined = urls.join(own, F.col(host) == F.col("h"), "left").withColumn("_best", best)
     return joined.withColumns({"rule": F.col("_best")["name"], "rule_verdict": F.col("_best")["rule_verdict"]}).drop("h", "_rules", "_best")
@@ -104,6 +105,8 @@ def link_targets(url: str | None, page: str | None) -> list[str]:
     """Targets of a page's canonical links and refresh redirects, resolved against its url."""
     out = []
     for tag in _LINK.findall(_SKIP.sub(" ", page or "")):
+        if tag[-1] != ">":
+            continue  # the page ends inside it
         own = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "").strip() for m in _ATTRIBUTE.finditer(tag)}
         to = ""
         if tag[1:5].lower() == "link" and "canonical" in own.get("rel", "").lower().split():

@@ -73,3 +73,44 @@ def test_rule_table_agrees_with_inline_rules(spark):
 
 def test_empty_table(spark):
     assert run(spark, []) == {}
+
+
+def test_ties_go_to_the_first_name_on_both_paths(spark):
+    pair = [u.Rule("a.com", "/bx", "block"), u.Rule("com", "/bxyz", "allow")]
+    many = pair + [u.Rule(f"h{k}.org", "/", "block") for k in range(u.INLINE_RULES)]
+    for rules in (pair, many, pair[::-1], many[::-1]):
+        got = run(spark, [page(1, "http://a.com/bxyz")], rules)[1]
+        assert (got["rule"], got["verdict"]) == ("a.com/bx", "block")
+
+
+def test_hostile_pages_take_linear_time():
+    import time
+
+    began = time.perf_counter()
+    for unit in ("<!--", "<script>", "<link ", "<link rel=", "<meta a='", "x", "<script></script   ", "<link " + "a" * 50_000 + ">", '<link rel="'):
+        u.link_targets("http://x.org/", unit * (600_000 // len(unit)))
+    u.link_targets("http://x.org/", "<link " + "a" * 500_000 + ">")
+    assert time.perf_counter() - began < 8
+
+
+def test_classes_match_a_plain_search(spark):
+    """Random links and rules against a search of each url's class."""
+    import random
+
+    rng = random.Random(4)
+    urls = [f"http://h{k % 9}.org/p{k}" for k in range(80)]
+    rules = [u.Rule("h1.org", "/p1", "block"), u.Rule("h2.org", "/", "block"), u.Rule("h3.org", "/p3", "allow"), u.Rule("h5.org", "/p50", "allow")]
+    links = [(rng.choice(urls), rng.choice(urls)) for _ in range(45)]
+    own = lambda x: max(((len(r.name), r.verdict) for r in rules if x.startswith(f"http://{r.host}{r.path}")), default=(0, None))[1]
+    got = run(spark, [page(k, x) for k, x in enumerate(urls)], rules, links)
+    for k, x in enumerate(urls):
+        seen, todo = {x}, [x]
+        while todo:
+            y = todo.pop()
+            for a, b in links:
+                for c in ([b] if a == y else []) + ([a] if b == y else []):
+                    if c not in seen:
+                        seen.add(c)
+                        todo.append(c)
+        said = {own(y) for y in seen}
+        assert got[k]["verdict"] == (own(x) or ("allow" if "allow" in said else "block" if "block" in said else "allow"))
