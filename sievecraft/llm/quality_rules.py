@@ -121,11 +121,9 @@ def judge(docs: DataFrame, rules: QualityRules = QualityRules(), id_col: str = "
 
 
 def keep_good(docs: DataFrame, rules: QualityRules = QualityRules(), text: str = "text", host: str = "source") -> DataFrame:
-    """The kept documents with the columns they came with. Texts are read twice and never shuffled."""
+    """The kept documents with the columns they came with. Texts are read and counted once, and never shuffled."""
     own = docs.select(F.struct("*").alias("_row"), F.col(text).alias("_text"), F.col(host).alias("_source"))
-    judged = add_failures(add_counts(own, "_text"), rules)
+    judged = add_failures(add_counts(own, "_text"), rules).select("_row", "_source", "base_failed", "any_failed")
+    judged = materialise(judged, "quality-rows")
     verdicts = host_verdicts(judged.select("_source", "any_failed"), "_source", rules)
-    # A filter is pushed below the counts, and each word would be counted from all words again; it stays above a
-    # column that isn't deterministic.
-    judged = judged.select("_row", "_source", "base_failed", F.spark_partition_id().alias("_part"))
-    return _with_verdict(judged, verdicts, "_source", rules).where("kept and _part >= 0").select("_row.*")
+    return _with_verdict(judged, verdicts, "_source", rules).where("kept").select("_row.*")
