@@ -7,7 +7,7 @@ letters with digits or signs, and lexicon words found once these are read as let
 folds, so that the trees and the calibration see features as new texts have them; scoring uses the whole lexicon.
 
 Nulls: a null text counts as an empty one and gets the score of a text without words; rows with a null label or id
-aren't learnt from; an id with several labels is toxic if one says so. Repeated rows are scored one by one. Without
+aren't learnt from; an id with several labels is toxic if one says so, one with several texts is learnt from the least. Repeated rows are scored one by one. Without
 labels every score is 0, without documents the result is empty.
 """
 
@@ -26,12 +26,10 @@ from pyspark.sql import functions as F
 
 from ..plans.lineage import materialise
 from .boosting import Boosted, fit, isotonic
-from .common import small_batches
+from .common import free_name, small_batches
 
 #: Bound of the labelled sample that the model is fitted on.
 MAX_ROWS = 24_000
-#: Bound of the units that are weighed for the lexicon.
-MAX_UNITS = 50_000
 #: Share of the toxic rows that must hold an entry.
 SUPPORT = 0.003
 FOLDS = 3
@@ -188,10 +186,11 @@ def _counter(known: frozenset | None):
 
 
 def _unit_counts(rows: DataFrame, toxic: int) -> pd.DataFrame:
-    """(unit, fold, n, toxic) of the units that most toxic rows hold, over all sampled rows. Both collected tables are bounded."""
+    """(unit, fold, n, toxic) of the units that enough toxic rows hold, over all sampled rows. A row counts once per unit, so the units of
+    one in ``1 / SUPPORT`` toxic rows are at most that many times what one row holds, whatever the size of the corpus."""
     schema = "unit string, fold int, toxic int, n long"
     bad = rows.where("toxic = 1").mapInPandas(_counter(None), schema).groupBy("unit").agg(F.sum("n").alias("n"))
-    found = bad.where(F.col("n") >= max(2.0, SUPPORT * toxic)).orderBy(F.col("n").desc(), "unit").limit(MAX_UNITS).collect()
+    found = bad.where(F.col("n") >= max(2.0, SUPPORT * toxic)).select("unit").collect()
     known = frozenset(r["unit"] for r in found)
     counts = rows.mapInPandas(_counter(known), schema).groupBy("unit", "fold", "toxic").agg(F.sum("n").alias("n")).toPandas()
     counts = counts.sort_values(["unit", "fold", "toxic"], kind="stable")
@@ -205,7 +204,7 @@ def sample(docs: DataFrame, labels: DataFrame, allowed: Column, id_col: str, tex
     own = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).where(allowed).groupBy(id_col).agg(F.max(label).cast("int").alias("toxic"))
     own = own.orderBy(order, id_col).limit(max_rows).withColumn("fold", F.pmod(F.xxhash64(F.col(id_col), F.lit(5)), F.lit(FOLDS)).cast("int"))
     texts = docs.select(F.col(id_col), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return materialise(texts.join(F.broadcast(own), id_col).select(F.col(id_col).alias("id"), "text", "toxic", "fold").dropDuplicates(["id"]), "toxicity-sample")
+    return materialise(texts.join(F.broadcast(own), id_col).groupBy(F.col(id_col).alias("id"), "toxic", "fold").agg(F.min("text").alias("text")).select("id", "text", "toxic", "fold"), "toxicity-sample")
 
 
 def _lexicon(counts: pd.DataFrame, totals: dict[int, tuple[int, int]], without: int | None) -> Lexicon:
@@ -270,4 +269,5 @@ def add_score(docs: DataFrame, model: Model, out: str = "score", text: str = "te
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
     """Documents that score under the threshold, with the columns they came with."""
-    return add_score(docs, model, "_toxicity", text).where(F.col("_toxicity") < threshold).drop("_toxicity")
+    own = free_name(docs, "toxicity")
+    return add_score(docs, model, own, text).where(F.col(own) < threshold).drop(own)
