@@ -30,7 +30,8 @@ MAX_N = 4
 BUCKETS = 1 << 18
 MAX_ROWS = 3_000
 MAX_FIT_CHARS = 20_000
-LANDMARKS = 240
+#: Landmark texts, or as many as give each language some.
+LANDMARKS, LEAST_LANDMARKS = 240, 4
 RIDGE = 1e-2
 BLOCK_CHARS = 1 << 16
 UNKNOWN = "und"
@@ -91,7 +92,7 @@ def fit(rows: list[np.ndarray], langs: list[str], landmarks: int = LANDMARKS, ri
     if not languages:
         return Model([], np.zeros((BUCKETS, 0), dtype=np.float32), np.zeros(0))
     by = {x: [k for k, own in enumerate(langs) if own == x] for x in languages}
-    chosen = [k for turn in range(max(map(len, by.values()))) for x in languages for k in by[x][turn : turn + 1]][:landmarks]
+    chosen = [k for turn in range(max(map(len, by.values()))) for x in languages for k in by[x][turn : turn + 1]][: max(landmarks, LEAST_LANDMARKS * len(languages))]
     index = np.concatenate([rows[k] for k in chosen])
     owner = np.repeat(np.arange(len(chosen)), [len(rows[k]) for k in chosen])
     matrix = np.zeros((BUCKETS, len(chosen)), dtype=np.float32)  # presence of the landmarks, each of unit length
