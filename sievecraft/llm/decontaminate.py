@@ -1,18 +1,20 @@
 """Benchmark decontamination: one Aho-Corasick automaton over normalised benchmark windows.
 
 Texts are lower-cased (A-Z) and cut into words of digits, letters and non-ASCII characters. A window is 13 consecutive
-words of an item; a shorter item is one window. The automaton reads each document once, and hits are mapped back to
-offsets of the original text. The documents are never shuffled.
+words of an item; a shorter item is one window. The automaton, over numbers of words, reads each document once, and hits
+are mapped back to offsets of the original text. The documents are never shuffled.
 
 Nulls: a null text has no words, so it is never contaminated; items with a null id or without words are left out.
-Rows of one item id count as one item. Repeated documents are judged one by one. An empty benchmark hits nothing.
+Rows of one item id count as one item. Repeated documents are judged one by one, texts of any length whole. Columns of
+the input are passed on; one of the output's name is replaced. An empty benchmark hits nothing, an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -21,17 +23,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.lineage import materialise
-from .common import small_batches, utf8
+from .common import free_name, small_batches, utf8
 
 WIDTH = 13
-#: Benchmark characters that one automaton holds; a larger benchmark is dealt to several, which read the documents in turn.
-BLOCK_CHARS = 32_000_000
+#: Benchmark words that one automaton holds, with up to 13 nodes each (some 90 bytes a node, 300 MB in all); a larger
+#: benchmark is dealt to several, which read the documents in turn.
+BLOCK_WORDS = 250_000
 
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _BUILT: dict[int, tuple] = {}
 
-SCHEMA = "n_words long, n_hit long, items array<string>, spans array<struct<item:string,start:int,end:int>>"
+_SPANS = "array<struct<item:string,start:int,end:int>>"
+SCHEMA = f"n_words long, n_hit long, items array<string>, spans {_SPANS}"
 
 
 def words(text: bytes | None) -> list[bytes]:
@@ -39,52 +43,44 @@ def words(text: bytes | None) -> list[bytes]:
     return text.translate(_TABLE).split() if text else []
 
 
-def windows(text: bytes | None, width: int = WIDTH) -> list[bytes]:
-    w = words(text)
-    return [b" ".join(w[k : k + width]) for k in range(max(1, len(w) - width + 1))] if w else []
-
-
-def _automaton(items: list[tuple[str, bytes]], width: int):
-    """(automaton, item ids of each window, words of each window)."""
-    import ahocorasick
-
-    found: dict[bytes, list[str]] = {}
-    for item, text in items:
-        for x in windows(text, width):
-            if item not in (own := found.setdefault(x, [])):
-                own.append(item)
-    auto = ahocorasick.Automaton()
-    for k, x in enumerate(found):
-        auto.add_word(f" {x.decode('latin-1')} ", k)
-    if found:
-        auto.make_automaton()
-    return auto if found else None, list(found.values()), [x.count(b" ") + 1 for x in found]
-
-
-def scan(text: bytes | None, built: tuple) -> tuple[int, np.ndarray | None, set[str], list[tuple[int, int, int]]]:
-    """Words, a mask of hit words, items hit, and (window, first word, last word) of each occurrence."""
-    auto, owners, lengths = built
-    own = words(text)
-    if auto is None or not own:
-        return len(own), None, set(), []
-    line = f" {b' '.join(own).decode('latin-1')} "
-    hits = list(auto.iter(line))
-    if not hits:
-        return len(own), None, set(), []
-    gaps = np.flatnonzero(np.frombuffer(line.encode("latin-1"), dtype=np.uint8) == 32)
-    mask, items, at = np.zeros(len(own), dtype=bool), set(), []
-    for end, k in hits:
-        last = int(np.searchsorted(gaps, end)) - 1
-        first = last - lengths[k] + 1
-        mask[first : last + 1] = True
-        items.update(owners[k])
-        at.append((k, first, last))
-    return len(own), mask, items, at
-
-
-def _runs(mask: np.ndarray) -> list[tuple[int, int]]:
-    edge = np.diff(np.concatenate(([0], mask.view(np.int8), [0])))
-    return list(zip(np.flatnonzero(edge == 1).tolist(), (np.flatnonzero(edge == -1) - 1).tolist(), strict=True))
+class Windows:
+    """An Aho-Corasick automaton over numbers of words: a window of 13 words has 13 nodes, however long the words are."""
+
+    def __init__(self, items: list[tuple[str, bytes]], width: int):
+        import ahocorasick
+
+        self.number: dict[bytes, int] = {}
+        found: dict[tuple[int, ...], list[str]] = {}
+        for item, text in items:
+            own = [self.number.setdefault(w, len(self.number) + 1) for w in words(text)]
+            for k in range(max(1, len(own) - width + 1) if own else 0):
+                by = found.setdefault(tuple(own[k : k + width]), [])
+                if not by or by[-1] != item:
+                    by.append(item)
+        self.owners = [list(dict.fromkeys(x)) for x in found.values()]
+        self.lengths = [len(x) for x in found]
+        self.auto = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        for k, x in enumerate(found):
+            self.auto.add_word(x, k)
+        if found:
+            self.auto.make_automaton()
+
+    def scan(self, text: bytes | None) -> tuple[int, np.ndarray | None, set[str], list[tuple[int, int, int]]]:
+        """Words, a mask of hit words, items hit, and (window, first word, last word) of each occurrence."""
+        own = words(text)
+        if not self.owners or not own:
+            return len(own), None, set(), []
+        get = self.number.get
+        hits = list(self.auto.iter(tuple([get(w, 0) for w in own])))
+        if not hits:
+            return len(own), None, set(), []
+        mask, items, at = np.zeros(len(own), dtype=bool), set(), []
+        for last, k in hits:
+            first = last - self.lengths[k] + 1
+            mask[first : last + 1] = True
+            items.update(self.owners[k])
+            at.append((k, first, last))
+        return len(own), mask, items, at
 
 
 def _spans(text: bytes, owners: list[list[str]], at: list[tuple[int, int, int]]) -> list[dict]:
@@ -106,59 +102,66 @@ def _scanner(shared, key: int, width: int):
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         if key not in _BUILT:
             _BUILT.clear()
-            _BUILT[key] = _automaton(shared.value, width)
+            _BUILT[key] = Windows(shared.value, width)
         built = _BUILT[key]
         for part in parts:
             rows = []
             for text in part:
-                n, mask, items, at = scan(text, built)
-                rows.append((n, 0 if mask is None else int(mask.sum()), sorted(items), _spans(text, built[1], at) if at else []))
+                n, mask, items, at = built.scan(text)
+                rows.append((n, 0 if mask is None else int(mask.sum()), sorted(items), _spans(text, built.owners, at) if at else []))
             yield pd.DataFrame(rows, columns=["n_words", "n_hit", "items", "spans"])
 
     return run
 
 
-def _blocks(benchmark: DataFrame, item_id: str, text: str, block_chars: int) -> list[list[tuple[str, bytes]]]:
-    """The benchmark, a stated query set, in blocks of a checked size."""
+def _blocks(benchmark: DataFrame, item_id: str, text: str, block_words: int) -> tuple[int, Callable[[int], list[tuple[str, bytes]]]]:
+    """How many blocks the benchmark, a stated query set, has, and how to fetch one; the driver holds one at a time."""
     own = benchmark.where(F.col(item_id).isNotNull() & F.col(text).isNotNull()).select(F.col(item_id).cast("string").alias("i"), F.col(text).alias("t"))
-    total = own.agg(F.sum(F.length("t"))).first()[0] or 0
-    n = 1 + total // block_chars
-    return [[(r.i, r.t.encode()) for r in own.where(F.pmod(F.xxhash64("i"), F.lit(n)) == k).collect()] for k in range(n)]
+    total = own.agg(F.sum(F.size(F.split("t", r"[^0-9A-Za-z\x80-\x{10FFFF}]+")))).first()[0] or 0
+    n = 1 + total // block_words
+    return n, lambda k: [(r.i, r.t.encode()) for r in own.where(F.pmod(F.xxhash64("i"), F.lit(n)) == k).orderBy("i", "t").collect()]
 
 
-def add_hits(docs: DataFrame, benchmark: DataFrame, out: str = "hits", id_col: str = "item_id", text: str = "text", width: int = WIDTH, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def add_hits(docs: DataFrame, benchmark: DataFrame, out: str = "hits", id_col: str = "item_id", text: str = "text", width: int = WIDTH, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Append ``out``, a struct of n_words, n_hit, items (sorted ids as strings) and spans.
 
-    Beyond ``block_chars`` the benchmark is read in blocks, one pass of the documents and one table in the shared
-    folder each, so that a worker holds one automaton at a time; hit words of all blocks are merged by their spans.
+    Beyond ``block_words`` the benchmark is read in blocks: the documents are numbered in one table in the shared folder,
+    each block reads it once and leaves a table of row numbers and hits only, so that a worker holds one automaton at a
+    time. Hits of all blocks are merged by their spans and joined back by row number.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    blocks = _blocks(benchmark, id_col, text, block_chars)
-    if len(blocks) == 1:
-        return docs.withColumn(out, _scanner(spark.sparkContext.broadcast(blocks[0]), uuid.uuid4().int, width)(utf8(F.col(text))))
-    for k, block in enumerate(blocks):
-        docs = docs.withColumn(f"_{out}{k}", _scanner(spark.sparkContext.broadcast(block), uuid.uuid4().int, width)(utf8(F.col(text))))
-        docs = materialise(docs, "decontaminate-block")
-    parts = [F.col(f"_{out}{k}") for k in range(len(blocks))]
-    spans = F.flatten(F.array(*[p["spans"] for p in parts]))
-    merged = F.struct(
-        parts[0]["n_words"].alias("n_words"),
-        _words_within(F.col(text), spans).alias("n_hit"),
-        F.array_sort(F.array_distinct(F.flatten(F.array(*[p["items"] for p in parts])))).alias("items"),
-        spans.alias("spans"),
-    )
-    return docs.withColumn(out, merged).drop(*[f"_{out}{k}" for k in range(len(blocks))])
-
-
-@F.pandas_udf(T.LongType())
-def _words_within(texts: pd.Series, spans: pd.Series) -> pd.Series:
-    """Words that lie within any span."""
+    n, fetch = _blocks(benchmark, id_col, text, block_words)
+    scan = lambda k: _scanner(spark.sparkContext.broadcast(fetch(k)), uuid.uuid4().int, width)
+    if n == 1:
+        return docs.withColumn(out, scan(0)(utf8(F.col(text))))
+    numbered = materialise(docs.drop(out).select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("at")), "decontaminate-rows")
+    found = None
+    for k in range(n):
+        part = numbered.select("at", scan(k)(utf8(F.col("row")[text])).alias("h")).where(F.size("h.items") > 0).select("at", "h.items", "h.spans")
+        part = materialise(part, "decontaminate-block")
+        found = part if found is None else found.unionByName(part)
+    merged = found.groupBy("at").agg(F.flatten(F.collect_list("items")).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"))
+    none = F.array().cast("array<string>")
+    rows = numbered.join(merged, "at", "left")
+    counts = _words_within(F.col("row")[text], F.col("spans"))
+    hits = F.struct(counts["n_words"].alias("n_words"), counts["n_hit"].alias("n_hit"), F.array_sort(F.array_distinct(F.coalesce("items", none))).alias("items"), F.coalesce("spans", F.array().cast(_SPANS)).alias("spans"))
+    return rows.select("row.*", hits.alias(out))
+
+
+@F.pandas_udf(T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType())]))
+def _words_within(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
+    """Words, and words that lie within any span."""
     counts = []
     for text, own in zip(texts, spans, strict=True):
-        ranges = [(s["start"], s["end"]) for s in own]
-        counts.append(sum(any(a <= m.start() and m.end() <= b for a, b in ranges) for m in _WORD.finditer(text)) if ranges else 0)
-    return pd.Series(counts, dtype="int64")
+        at = np.array([m.span() for m in _WORD.finditer(text or "")], dtype=np.int64).reshape(-1, 2)
+        hit = np.zeros(len(at) + 1, dtype=np.int64)
+        for s in own if own is not None else ():
+            a, b = np.searchsorted(at[:, 0], s["start"]), np.searchsorted(at[:, 1], s["end"], side="right")
+            hit[a] += 1
+            hit[b] -= 1
+        counts.append((len(at), int((np.cumsum(hit)[:-1] > 0).sum())))
+    return pd.DataFrame(counts, columns=["n_words", "n_hit"], dtype="int64")
 
 
 def contaminated(hits: Column) -> Column:
@@ -168,4 +171,5 @@ def contaminated(hits: Column) -> Column:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """Documents that aren't contaminated, with the columns they came with."""
-    return add_hits(docs, benchmark, "_decontaminate", text=text).where(~contaminated(F.col("_decontaminate"))).drop("_decontaminate")
+    own = free_name(docs, "contamination")
+    return add_hits(docs, benchmark, own, text=text).where(~contaminated(F.col(own))).drop(own)

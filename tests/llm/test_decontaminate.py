@@ -44,10 +44,10 @@ def texts(seed=3):
     return docs, items
 
 
-def check(spark, documents, block_chars):
+def check(spark, documents, block_words):
     docs, items = texts()
     table = spark.createDataFrame(items + [(None, "w1")], "item_id long, text string")
-    rows = d.add_hits(documents(docs), table, "out", block_chars=block_chars).select("doc_id", "text", "out", d.contaminated(F.col("out")).alias("c")).collect()
+    rows = d.add_hits(documents(docs), table, "out", block_words=block_words).select("doc_id", "text", "out", d.contaminated(F.col("out")).alias("c")).collect()
     some = 0
     for r in rows:
         n, hit, found = brute(r["text"], items)
@@ -62,11 +62,11 @@ def check(spark, documents, block_chars):
 
 
 def test_matches_brute_force(spark, documents):
-    check(spark, documents, d.BLOCK_CHARS)
+    check(spark, documents, d.BLOCK_WORDS)
 
 
 def test_blocks_of_the_benchmark_agree(spark, documents):
-    check(spark, documents, 150)
+    check(spark, documents, 30)
 
 
 def test_spans_are_offsets_of_the_original(spark, documents):
@@ -74,6 +74,17 @@ def test_spans_are_offsets_of_the_original(spark, documents):
     assert [(s["item"], rows[0]["text"][s["start"] : s["end"]]) for s in rows[0]["out"]["spans"]] == [("5", "The CAT sat")]
 
 
+def test_very_long_texts_and_clashing_columns(spark, documents):
+    bench = spark.createDataFrame([(5, "the cat sat")], "item_id long, text string")
+    docs = documents([(1, "dog " * 200_000 + "the cat sat", "en", "s"), (2, "the cat sat", "en", "s")]).withColumns({"contamination": F.lit(4), "_decontaminate": F.lit(5)})
+    got = {r["doc_id"]: r["out"] for r in d.add_hits(docs, bench, "out").collect()}
+    assert (got[1]["n_words"], got[1]["n_hit"], got[1]["spans"][0]["start"]) == (200_003, 3, 800_000)
+    kept = d.drop_contaminated(docs, bench)
+    assert kept.columns == docs.columns and [(r["doc_id"], r["contamination"], r["_decontaminate"]) for r in kept.collect()] == [(1, 4, 5)]
+    blocks = d.add_hits(docs, spark.createDataFrame([(5, "the cat sat"), (6, "dog dog dog")], "item_id long, text string"), "hits", block_words=2)
+    assert {r["doc_id"]: (r["hits"]["n_hit"], r["hits"]["items"]) for r in blocks.collect()} == {1: (200_003, ["5", "6"]), 2: (3, ["5"])}
+
+
 def test_odd_rows_and_empty_tables(spark, odd, empty):
     bench = spark.createDataFrame([(1, "same text here")], "item_id long, text string")
     kept = d.drop_contaminated(odd, bench)
