@@ -1,7 +1,7 @@
 """Benchmark decontamination: one Aho-Corasick automaton over normalised benchmark windows.
 
 Texts are lower-cased (A-Z) and cut into words of digits, letters and non-ASCII characters. A window is 13 consecutive
-words of an item; a shorter item is one window. The automaton, over numbers of words, reads each document once, and hits
+words of an item; a shorter item is one window. The automaton, over words as pairs of signs, reads each document once, and hits
 are mapped back to offsets of the original text. The documents are never shuffled.
 
 Nulls: a null text has no words, so it is never contaminated; items with a null id or without words are left out.
@@ -12,6 +12,7 @@ empty result.
 
 from __future__ import annotations
 
+import math
 import re
 import uuid
 from collections.abc import Callable, Iterator
@@ -26,9 +27,9 @@ from ..plans.lineage import materialise
 from .common import free_name, small_batches, utf8
 
 WIDTH = 13
-#: Benchmark words that one automaton holds, with up to 13 nodes each (some 90 bytes a node, 300 MB in all); a larger
+#: Benchmark words that one automaton holds, with up to 26 nodes each (some 50 bytes a node, 270 MB in all); a larger
 #: benchmark is dealt to several, which read the documents in turn.
-BLOCK_WORDS = 250_000
+BLOCK_WORDS = 200_000
 
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -44,22 +45,27 @@ def words(text: bytes | None) -> list[bytes]:
 
 
 class Windows:
-    """An Aho-Corasick automaton over numbers of words: a window of 13 words has 13 nodes, however long the words are."""
+    """An Aho-Corasick automaton over words, each of which is two signs: its number's quotient and remainder by the root of
+    the vocabulary's size. A node of the automaton looks a sign up among its children one by one, so few signs make it
+    fast, and a window of 13 words has 26 nodes, however long the words are. Other words are one sign that no window has."""
+
+    OTHER = "\0"
 
     def __init__(self, items: list[tuple[str, bytes]], width: int):
         import ahocorasick
 
-        self.number: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], list[str]] = {}
-        for item, text in items:
-            own = [self.number.setdefault(w, len(self.number) + 1) for w in words(text)]
+        texts = [(item, words(text)) for item, text in items]
+        known = list(dict.fromkeys(w for _, own in texts for w in own))
+        base = math.isqrt(len(known)) + 1
+        self.sign = {w: chr(256 + k // base) + chr(256 + base + k % base) for k, w in enumerate(known)}
+        found: dict[str, list[str]] = {}
+        for item, own in texts:
+            signs = "".join([self.sign[w] for w in own])
             for k in range(max(1, len(own) - width + 1) if own else 0):
-                by = found.setdefault(tuple(own[k : k + width]), [])
-                if not by or by[-1] != item:
-                    by.append(item)
+                found.setdefault(signs[2 * k : 2 * (k + width)], []).append(item)
         self.owners = [list(dict.fromkeys(x)) for x in found.values()]
-        self.lengths = [len(x) for x in found]
-        self.auto = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        self.lengths = [len(x) // 2 for x in found]
+        self.auto = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for k, x in enumerate(found):
             self.auto.add_word(x, k)
         if found:
@@ -70,12 +76,15 @@ class Windows:
         own = words(text)
         if not self.owners or not own:
             return len(own), None, set(), []
-        get = self.number.get
-        hits = list(self.auto.iter(tuple([get(w, 0) for w in own])))
+        get, other = self.sign.get, self.OTHER
+        signs = [get(w, other) for w in own]
+        hits = list(self.auto.iter("".join(signs)))
         if not hits:
             return len(own), None, set(), []
+        ends = np.cumsum([len(x) for x in signs]) - 1
         mask, items, at = np.zeros(len(own), dtype=bool), set(), []
-        for last, k in hits:
+        for end, k in hits:
+            last = int(np.searchsorted(ends, end))
             first = last - self.lengths[k] + 1
             mask[first : last + 1] = True
             items.update(self.owners[k])
