@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import importlib
 import json
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,8 @@ COMMANDS = {
     "device": ([], "what the session runs on"),
     "census-import": (["path"], "upsert a catalogue file"),
     "census-report": ([], "counts of the catalogue"),
+    "embed": (["encoder"], "embed pending photos; the encoder is a factory, module:name"),
+    "fetch": (["kind", "fetcher"], "fetch missing thumbs, previews or full images; the fetcher is a factory, module:name"),
     "fetch-zips": (["folder"], "import thumbs from zips"),
     "fetch-scan": ([], "mark thumbs that are there"),
     "fetch-repair": ([], "clear the flag of thumbs that aren't"),
@@ -31,6 +34,7 @@ COMMANDS = {
     "text-scan": (["folder"], "verdicts on text images of a folder"),
     "text-thumbs": ([], "flag text images"),
     "text-export": (["path"], "write accepted text images"),
+    "review": (["group_id", "action", "keep"], "decide on a group: accept, keep_all, delete_all, skip, or override with comma-joined keys"),
     "review-next": ([], "the next pending group"),
     "apply-export": (["run_id"], "write the trash payload"),
     "apply-import-undo": (["path"], "import an undo file"),
@@ -39,10 +43,22 @@ COMMANDS = {
 }
 
 
-def _shown(value) -> str:
+OPTIONAL = {("apply-export-restore", "run_id"), ("review", "keep")}
+
+
+def factory(name: str):
+    """``module:name`` as the object it names."""
+    module, _, attribute = name.partition(":")
+    return getattr(importlib.import_module(module), attribute)
+
+
+def _show(value) -> None:
+    """A JSON value; a frame as one object a line, row by row, however many there are."""
     if isinstance(value, DataFrame):
-        return json.dumps([r.asDict(recursive=True) for r in value.limit(1000).collect()], default=str)
-    return json.dumps(value, default=str)
+        for r in value.toLocalIterator():
+            print(json.dumps(r.asDict(recursive=True), default=str))
+    else:
+        print(json.dumps(value, default=str))
 
 
 def run(engine: Engine, command: str, *args: str):
@@ -53,6 +69,8 @@ def run(engine: Engine, command: str, *args: str):
         "device": lambda: {"master": engine.spark.sparkContext.master, "cores": engine.spark.sparkContext.defaultParallelism, "accelerators": dict(engine.spark.sparkContext.resources)},
         "census-import": engine.import_census,
         "census-report": lambda: as_table(engine.census_report()),
+        "embed": lambda encoder: engine.embed(factory(encoder)),
+        "fetch": lambda kind, fetcher: engine.fetch(factory(fetcher), kind, only_group_members=kind != "thumbs"),
         "fetch-zips": engine.import_zips,
         "fetch-scan": engine.scan_thumbs,
         "fetch-repair": lambda: engine.scan_thumbs(repair=True),
@@ -66,6 +84,7 @@ def run(engine: Engine, command: str, *args: str):
         "text-scan": lambda folder: engine.scan_tree(folder, "text"),
         "text-thumbs": engine.scan_text,
         "text-export": engine.export_accepted_text,
+        "review": lambda group_id, action, keep="": engine.decide(engine.spark.createDataFrame([(group_id, action, [k for k in keep.split(",") if k])], "group_id string, action string, keep_keys array<string>")),
         "review-next": engine.next_group,
         "apply-export": engine.export_trash,
         "apply-import-undo": engine.import_undo,
@@ -82,11 +101,11 @@ def main(argv: list[str] | None = None) -> None:
     for name, (args, text) in COMMANDS.items():
         p = sub.add_parser(name, help=text)
         for a in args:
-            p.add_argument(a, nargs="?" if name == "apply-export-restore" else None)
+            p.add_argument(a, nargs="?" if (name, a) in OPTIONAL else None)
     given = vars(parser.parse_args(argv))
     spark = SparkSession.builder.appName("sievecraft").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     engine = Engine(spark, given["root"], EngineConfig.from_env())
-    print(_shown(run(engine, given["command"], *[given[a] for a in COMMANDS[given["command"]][0] if given[a] is not None])))
+    _show(run(engine, given["command"], *[given[a] for a in COMMANDS[given["command"]][0] if given[a] is not None]))
 
 
 if __name__ == "__main__":

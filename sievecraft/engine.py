@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from .config import EngineConfig
 from .functions.kernels import FaceModel
 from .functions.scalars import blob_path, sized_url
+from .operators.vectors import neighbour_percentiles
 from .operators import apply, classify, embed, grouping, reports, review, safety, scoring, upsert
+from .plans.lineage import materialise
 from .plans.store import SnapshotStore
 from .sources import census, files, sinks
 
@@ -21,17 +23,20 @@ def utc_now() -> str:
 
 
 class Engine:
-    """``root`` holds tables/, blobs/{thumbs,previews,full}/ and exports/. ``now`` gives the clock, so that runs can be repeated."""
+    """``root`` holds tables/ and exports/, in any file system that Spark knows; ``blob_root`` (``root`` if not given) holds
+    blobs/{thumbs,previews,full}/, a folder that all executors mount, as image files are written there by their workers.
+    ``now`` gives the clock, so that runs can be repeated; ``make_decoder`` decodes what Spark's image source can't."""
 
-    def __init__(self, spark: SparkSession, root: str, cfg: EngineConfig = EngineConfig(), now: Callable[[], str] = utc_now):
-        self.spark, self.root, self.cfg, self.now = spark, root.rstrip("/"), cfg, now
+    def __init__(self, spark: SparkSession, root: str, cfg: EngineConfig = EngineConfig(), now: Callable[[], str] = utc_now, blob_root: str | None = None, make_decoder: Callable[[], files.Decoder | None] = files.pillow_decoder):
+        self.spark, self.root, self.cfg, self.now, self.make_decoder = spark, root.rstrip("/"), cfg, now, make_decoder
+        self.blob_root = (blob_root or root).rstrip("/")
         self.store = SnapshotStore(spark, f"{self.root}/tables")
 
     def table(self, name: str) -> DataFrame:
         return self.store.read(name)
 
     def blobs(self, kind: str) -> str:
-        return f"{self.root}/blobs/{kind}"
+        return f"{self.blob_root}/blobs/{kind}"
 
     # ---- catalogue
 
@@ -39,6 +44,7 @@ class Engine:
         """Upsert a catalogue file; one bad line fails the whole import. Counts are per line."""
         found = census.read_census(self.spark, path)
         old = self.table("photos")
+        found.items = materialise(found.items, "census-items")  # parsed once
         counts = upsert.import_counters(old, found.items).first().asDict()
         stamp = self.spark.createDataFrame([("census_imported_at", self.now())], "key string, value string")
         meta = upsert.upsert_meta(self.table("meta"), found.meta).where("key != 'census_imported_at'").unionByName(stamp)
@@ -49,7 +55,11 @@ class Engine:
         return reports.census_report(self.table("photos"), self.table("groups"))
 
     def status(self) -> DataFrame:
-        return reports.status_funnel(*(self.table(t) for t in ("photos", "embeddings", "groups", "corrupt_flags", "text_flags")))
+        """The funnel, with the advice to repair if most of some cached thumbs aren't there."""
+        photos = self.table("photos")
+        seen = reports.thumb_sample(photos, files.cached_blobs(self.spark, photos, self.blobs("thumbs"))).first()
+        missing = bool(seen["sampled"]) and 2 * seen["valid"] < seen["sampled"]
+        return reports.status_funnel(*(self.table(t) for t in ("photos", "embeddings", "groups", "corrupt_flags", "text_flags")), missing=missing)
 
     # ---- blobs
 
@@ -68,7 +78,7 @@ class Engine:
         """Write (media_key, content) rows to their hashed paths, each by a rename; (media_key, ok)."""
         import os
 
-        root = self.blobs(kind).removeprefix("file://")
+        root = sinks.mounted(self.blobs(kind))
 
         def run(batches):
             for b in batches:
@@ -77,28 +87,31 @@ class Engine:
                     with open(path + ".partial", "wb") as f:
                         f.write(content)
                     os.replace(path + ".partial", path)
-                yield b[["media_key"]].assign(ok=True)
+                yield b[["media_key"]].assign(ok=[os.path.getsize(p) == len(c) for p, c in zip(b["path"], b["content"], strict=True)])
 
         named = images.select("media_key", "content", blob_path(F.col("media_key"), root).alias("path"))
         return named.mapInPandas(run, "media_key string, ok boolean")
 
-    def import_zips(self, folder: str) -> int:
-        found = files.read_zips(self.spark, folder, self.table("photos"), self.valid_blobs())
-        n = self.write_blobs(found).count()
+    def import_zips(self, folder: str) -> dict:
+        """Counts of zips and entries: ok, skipped, unknown_or_bad."""
+        judged = materialise(files.judge_entries(files.zip_entries(self.spark, folder), self.table("photos"), self.valid_blobs()), "zip-entries")
+        counts = files.zip_counters(judged).first().asDict()
+        self.write_blobs(files.read_zips(judged)).where("ok").count()
         self.scan_thumbs()
-        return n
+        return counts
 
     def fetch(self, make_fetcher: Callable[[], files.Fetcher], kind: str = "thumbs", only_group_members: bool = False, limit: int | None = None) -> DataFrame:
         """Fetch missing images of photos that aren't videos; (ok, failed) counts. The fetcher is the caller's."""
         px = {"thumbs": self.cfg.thumb_px, "previews": self.cfg.preview_px, "full": self.cfg.full_px}[kind]
-        wanted = self.table("photos").where(F.col("thumb").isNotNull() & (F.col("thumb") != "") & ~F.col("is_video") & ~F.col("excluded"))
+        wanted = self.table("photos").where(F.col("thumb").isNotNull() & (F.col("thumb") != "") & ~F.col("is_video"))
         if only_group_members:
             wanted = wanted.join(self.table("group_members").select("media_key").distinct(), "media_key", "left_semi")
         wanted = wanted.join(self.valid_blobs(kind).select("media_key"), "media_key", "left_anti").orderBy("timestamp", "media_key")
         wanted = wanted.limit(limit) if limit else wanted
         urls = wanted.select("media_key", sized_url(F.col("thumb"), px).alias("url"))
-        got = files.fetch_images(urls, make_fetcher, self.cfg.fetch_concurrency, self.cfg.fetch_retries, self.cfg.auth_failure_limit).cache()
-        self.write_blobs(got.where("ok"), kind).count()
+        got = files.fetch_images(urls, make_fetcher, self.cfg.fetch_concurrency, self.cfg.fetch_retries, self.cfg.auth_failure_limit)
+        got = materialise(got, "fetched")  # fetched once
+        self.write_blobs(got.where("ok"), kind).where("ok").count()
         return got.agg(F.count_if("ok").alias("ok"), F.count_if(~F.col("ok")).alias("failed"))
 
     def images(self, *kinds: str) -> DataFrame:
@@ -107,7 +120,8 @@ class Engine:
         for kind in kinds or ("previews", "thumbs"):
             root = self.blobs(kind).removeprefix("file://")
             named = self.table("photos").select("media_key", blob_path(F.col("media_key"), root).alias("path"))
-            sources.append(named.join(files.decode_images(self.spark, self.blobs(kind)), "path").drop("path"))
+            others = files.decode_others(files.cached_blobs(self.spark, self.table("photos"), self.blobs(kind)), self.make_decoder)
+            sources.append(named.join(files.decode_images(self.spark, self.blobs(kind)).unionByName(others), "path").drop("path"))
         return scoring.best_image(*sources)
 
     # ---- safety, vectors, groups, scores
@@ -136,6 +150,9 @@ class Engine:
         groups = found.members.groupBy("group_id").agg(F.count("*").cast("int").alias("size")).select("group_id", "size", nothing("proposed_keeper", "string"), F.lit("pending").alias("status"), nothing("override_keeper", "string"), nothing("reviewed_at", "string"))
         members = found.members.select("group_id", "media_key", *[nothing(c, "double") for c in ("score", *scoring.COMPONENTS)], F.lit(False).alias("is_proposed_keeper"))
         self.store.commit(groups=groups, group_members=members, decisions=self.table("decisions").limit(0))
+        if not found.counters["groups"]:
+            p99 = neighbour_percentiles(found.neighbours).first()["p99"]
+            return found.counters | {"try_global_cosine": grouping.no_group_hint(p99)}
         return found.counters
 
     def score(self, make_face: Callable[[], FaceModel] | None = None) -> int:
@@ -163,31 +180,32 @@ class Engine:
         for kind in kinds:
             found = files.cached_blobs(self.spark, self.table("photos"), self.blobs(kind)).select(F.col("media_key").alias("path"), "content")
             blobs = found if blobs is None else blobs.unionByName(found.join(blobs.select("path"), "path", "left_anti"))
-        return verdicts(blobs, features(images), self.cfg).withColumnRenamed("path", "media_key").drop("width", "height", "error").withColumn("scanned_at", F.lit(self.now()))
+        return verdicts(blobs, features(images), self.cfg).withColumnRenamed("path", "media_key").drop("width", "height", "error").withColumn("scanned_at", F.lit(self.now())).transform(lambda x: materialise(x, "verdicts"))
 
     def scan_corrupt(self, kinds: tuple[str, ...] = ("thumbs",)) -> DataFrame:
         found = self._scan(classify.fill_features, classify.corrupt_verdicts, kinds)
         self.store.commit(corrupt_flags=upsert.upsert_flags(self.table("corrupt_flags"), found, "corrupted", upsert.CORRUPT_FINAL))
-        return classify.scan_stats(self.table("corrupt_flags"), "corrupted")
+        return classify.scan_stats(found, "corrupted", self.table("photos").where("thumb_cached").select("media_key"))
 
     def scan_text(self, kinds: tuple[str, ...] = ("previews", "thumbs")) -> DataFrame:
         found = self._scan(classify.text_features, classify.text_verdicts, kinds)
         self.store.commit(text_flags=upsert.upsert_flags(self.table("text_flags"), found, "is_text", upsert.TEXT_FINAL))
-        return classify.scan_stats(self.table("text_flags"), "is_text")
+        return classify.scan_stats(found, "is_text", self.table("photos").where("thumb_cached").select("media_key"))
 
     def scan_tree(self, root: str, what: str = "corrupt", report: str | None = None, to: str | None = None, copy: bool = False) -> DataFrame:
         """Verdicts on all images under a folder; flagged ones are moved or copied to ``to`` if given. Files under ``to`` are left out."""
         found = files.scan_images(self.spark, root)
         if to:
             found = found.where(~F.col("path").startswith(to.removeprefix("file://").rstrip("/") + "/"))
-        images = files.decode_images(self.spark, root)
-        verdicts = (classify.corrupt_verdicts(found, classify.fill_features(images), self.cfg) if what == "corrupt" else classify.text_verdicts(found, classify.text_features(images), self.cfg)).cache()
+        images = files.decode_images(self.spark, root).unionByName(files.decode_others(found, self.make_decoder))
+        verdicts = classify.corrupt_verdicts(found, classify.fill_features(images), self.cfg) if what == "corrupt" else classify.text_verdicts(found, classify.text_features(images), self.cfg)
+        verdicts = materialise(verdicts, "tree-verdicts")
         if report:
             sinks.write_report(verdicts.orderBy("path"), report)
         if to:
             flagged = verdicts.where("corrupted" if what == "corrupt" else "is_text").select("path")
             taken = files.scan_images(self.spark, to).select("path") if files.exists(self.spark, to) else None
-            sinks.relocate(sinks.plan_moves(flagged, root.removeprefix("file://"), to.removeprefix("file://"), taken), copy).count()
+            sinks.relocate(sinks.plan_moves(flagged, sinks.mounted(root), sinks.mounted(to), taken), copy).count()
         return verdicts
 
     def export_accepted_text(self, path: str) -> None:

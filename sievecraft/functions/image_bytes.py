@@ -15,13 +15,18 @@ def _latin(data: Column) -> Column:
     return F.decode(data, "ISO-8859-1")
 
 
+def is_webp(data: Column) -> Column:
+    """A format that Spark's image source can't decode, whatever its state."""
+    head = F.hex(F.substring(data, 1, 12))
+    return F.coalesce(head.startswith("52494646") & (F.substring(head, 17, 8) == "57454250"), F.lit(False))
+
+
 def looks_like_image(data: Column) -> Column:
     head = F.hex(F.substring(data, 1, 12))
     known = F.lit(False)
     for magic in MAGIC:
         known = known | head.startswith(magic)
-    webp = head.startswith("52494646") & (F.substring(head, 17, 8) == "57454250")
-    return F.coalesce((F.octet_length(data) >= LEAST_BYTES) & (known | webp), F.lit(False))
+    return F.coalesce((F.octet_length(data) >= LEAST_BYTES) & (known | is_webp(data)), F.lit(False))
 
 
 def jpeg_without_end(data: Column) -> Column:

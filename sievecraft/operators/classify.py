@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import EngineConfig
 from ..functions import kernels
-from ..functions.image_bytes import byte_reasons, decodable
+from ..functions.image_bytes import byte_reasons, decodable, is_webp
 from ..sources.files import to_rgb
 
 _FILL = "fill_raw double, fill_color array<int>, width int, height int"
@@ -42,24 +42,26 @@ def text_features(images: DataFrame) -> DataFrame:
 def corrupt_verdicts(files: DataFrame, features: DataFrame, cfg: EngineConfig = EngineConfig()) -> DataFrame:
     """(path, corrupted, reasons, fill_fraction, fill_color, width, height, error) of (path, content) files.
 
-    What the bytes say comes first; a file that looks like an image but has no features didn't decode.
+    What the bytes say comes first; a file that looks like an image but has no features didn't decode. A WebP file
+    without features isn't judged (corrupted is null): there may be no decoder for it.
     """
-    own = files.select("path", byte_reasons(F.col("content")).alias("_bytes"), decodable(F.col("content")).alias("_try"))
+    own = files.select("path", byte_reasons(F.col("content")).alias("_bytes"), decodable(F.col("content")).alias("_try"), is_webp(F.col("content")).alias("_webp"))
     own = own.join(features, "path", "left")
     seen = F.col("fill_raw").isNotNull()
     grey = F.array_max(F.transform("fill_color", lambda c: F.abs(c - kernels.DECODER_GREY))) <= 2
     fill = F.when((F.col("fill_raw") >= cfg.decoder_fill_min) & grey, F.array(F.lit("decoder_fill"))).when(F.col("fill_raw") >= cfg.min_fill, F.array(F.lit("trailing_fill"))).otherwise(F.array().cast("array<string>"))
-    reasons = F.when(~F.col("_try"), F.col("_bytes")).when(~seen, F.concat("_bytes", F.array(F.lit("unreadable")))).otherwise(F.concat("_bytes", fill))
+    unknown = F.col("_try") & F.col("_webp") & ~seen
+    reasons = F.when(~F.col("_try") | unknown, F.col("_bytes")).when(~seen, F.concat("_bytes", F.array(F.lit("unreadable")))).otherwise(F.concat("_bytes", fill))
     shown = F.col("_try") & seen
     return own.withColumn("reasons", reasons).select(
         "path",
-        (F.size("reasons") > 0).alias("corrupted"),
+        F.when(~unknown, F.size("reasons") > 0).alias("corrupted"),
         "reasons",
-        F.when(shown, F.round("fill_raw", 4)).otherwise(F.lit(0.0)).alias("fill_fraction"),
+        F.when(shown, F.bround("fill_raw", 4)).otherwise(F.lit(0.0)).alias("fill_fraction"),
         F.when(shown & (F.col("fill_raw") > 0), F.col("fill_color")).alias("fill_color"),
         F.when(shown, F.col("width")).alias("width"),
         F.when(shown, F.col("height")).alias("height"),
-        F.when(F.col("_try") & ~seen, "not decodable").alias("error"),
+        F.when(unknown, "format not supported").when(F.col("_try") & ~seen, "not decodable").alias("error"),
     )
 
 
@@ -69,7 +71,7 @@ def is_photographic() -> Column:
 
 def text_verdicts(files: DataFrame, features: DataFrame, cfg: EngineConfig = EngineConfig()) -> DataFrame:
     """(path, is_text, reasons, line_count, coverage, ink_fraction, width, height, error) of files; undecoded ones are unreadable."""
-    own = files.select("path").join(features, "path", "left")
+    own = files.select("path", is_webp(F.col("content")).alias("_webp")).join(features, "path", "left")
     seen = F.col("line_count").isNotNull()
     text = (
         seen
@@ -80,15 +82,18 @@ def text_verdicts(files: DataFrame, features: DataFrame, cfg: EngineConfig = Eng
         & F.col("spacing_ok")
     )
     text = F.coalesce(text, F.lit(False))
-    reasons = F.when(text, F.array(F.lit("text_lines"))).when(~seen, F.array(F.lit("unreadable"))).otherwise(F.array().cast("array<string>"))
+    reasons = F.when(text, F.array(F.lit("text_lines"))).when(~seen & ~F.col("_webp"), F.array(F.lit("unreadable"))).otherwise(F.array().cast("array<string>"))
     return own.select(
         "path", text.alias("is_text"), reasons.alias("reasons"), F.coalesce("line_count", F.lit(0)).alias("line_count"), F.coalesce("coverage", F.lit(0.0)).alias("coverage"),
-        F.coalesce("ink_fraction", F.lit(0.0)).alias("ink_fraction"), "width", "height", F.when(~seen, "not decodable").alias("error"),
+        F.coalesce("ink_fraction", F.lit(0.0)).alias("ink_fraction"), "width", "height", F.when(~seen & F.col("_webp"), "format not supported").when(~seen, "not decodable").alias("error"),
     )
 
 
-def scan_stats(verdicts: DataFrame, flagged: str, missing: int = 0) -> DataFrame:
-    return verdicts.agg(F.count("*").alias("scanned"), F.count_if(flagged).alias("flagged"), F.count_if(~F.col(flagged)).alias("ok"), F.lit(missing).cast("long").alias("missing"))
+def scan_stats(verdicts: DataFrame, flagged: str, expected: DataFrame | None = None, moved: int = 0, copied: int = 0) -> DataFrame:
+    """One row: scanned, flagged, ok, missing (expected keys without a verdict), moved and copied files."""
+    row = verdicts.agg(F.count("*").alias("scanned"), F.count_if(flagged).alias("flagged"), F.count_if(~F.col(flagged)).alias("ok"))
+    gone = F.lit(0).cast("long") if expected is None else F.lit(expected.join(verdicts.select("media_key"), "media_key", "left_anti").count())
+    return row.withColumns({"missing": gone, "moved": F.lit(moved).cast("long"), "copied": F.lit(copied).cast("long")})
 
 
 def as_flags(verdicts: DataFrame, keys: DataFrame, scanned_at: str) -> DataFrame:

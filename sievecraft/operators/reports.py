@@ -22,8 +22,8 @@ def census_report(photos: DataFrame, groups: DataFrame) -> DataFrame:
     return p.join(F.broadcast(g))
 
 
-def status_funnel(photos: DataFrame, embeddings: DataFrame, groups: DataFrame, corrupt_flags: DataFrame, text_flags: DataFrame) -> DataFrame:
-    """One row: how many items sit at each stage, and the next step."""
+def status_funnel(photos: DataFrame, embeddings: DataFrame, groups: DataFrame, corrupt_flags: DataFrame, text_flags: DataFrame, missing: bool = False) -> DataFrame:
+    """One row: how many items sit at each stage, and the next step. ``missing``: most sampled thumbs aren't there."""
     still = ~F.col("is_video")
     p = photos.agg(
         F.count("*").alias("photos_total"), F.count_if("is_video").alias("videos"), F.count_if("excluded").alias("excluded"),
@@ -37,7 +37,7 @@ def status_funnel(photos: DataFrame, embeddings: DataFrame, groups: DataFrame, c
     c = corrupt_flags.agg(F.count_if("corrupted").alias("corrupt_thumbs"))
     t = text_flags.agg(F.count_if("is_text").alias("text_thumbs"))
     row = p.join(F.broadcast(e)).join(F.broadcast(g)).join(F.broadcast(c)).join(F.broadcast(t))  # single rows
-    return row.withColumn("next_step", next_step())
+    return row.withColumn("next_step", next_step(F.lit(missing)))
 
 
 def next_step(missing: Column | None = None) -> Column:

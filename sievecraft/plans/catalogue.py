@@ -400,20 +400,20 @@ def mark_restored(spark, sf_dir):
 @query(
     with_sql(
         """SELECT * FROM (SELECT id, run_id, dedup_key, trashed_at FROM u UNION ALL
-    SELECT (SELECT max(id) FROM u) + row_number() OVER (ORDER BY vec_id), 'run-new', dedup_key, CASE WHEN vec_id % 2 = 0 THEN 'then' ELSE 'now' END FROM x WHERE vec_id % 50 = 2)""",
+    SELECT (SELECT max(id) FROM u) + row_number() OVER (ORDER BY vec_id), 'run-new', dedup_key, CASE WHEN vec_id % 2 = 0 THEN 'then' ELSE 'now' END FROM x)""",
         "u",
     )
 )
 def undo_import(spark, sf_dir):
     own = fixture.photos(spark, sf_dir)
-    new = own.where("vec_id % 50 = 2").select(F.lit("run-new").alias("run_id"), "dedup_key", "media_key", F.when(F.col("vec_id") % 2 == 0, "then").alias("trashed_at"), F.col("vec_id").alias("position"))
+    new = own.select(F.lit("run-new").alias("run_id"), "dedup_key", "media_key", F.when(F.col("vec_id") % 2 == 0, "then").alias("trashed_at"), F.col("vec_id").alias("position"))
     return apply.import_undo(fixture.undo_log(own), new, "now").select("id", "run_id", "dedup_key", "trashed_at")
 
 
-@query(with_sql("SELECT group_id, applied OR NOT EXISTS (SELECT 1 FROM (SELECT unnest(trash_dedup_keys) AS k) WHERE k NOT IN (SELECT dedup_key FROM u)) AS applied FROM d", "d", "u"))
+@query(with_sql("SELECT group_id, applied OR NOT EXISTS (SELECT 1 FROM (SELECT unnest(trash_dedup_keys) AS k) WHERE k NOT IN (SELECT dedup_key FROM u WHERE NOT restored)) AS applied FROM d", "d", "u"))
 def mark_applied_covered(spark, sf_dir):
     own, _, _, d = _library(spark, sf_dir)
-    return apply.mark_applied(d, "now", fixture.undo_log(own)).select("group_id", "applied")
+    return apply.mark_applied(d, "now", fixture.undo_log(own).where("not restored")).select("group_id", "applied")
 
 
 # ---- reports
@@ -436,7 +436,7 @@ def census_report(spark, sf_dir):
         """SELECT count(*) AS photos_total, count(*) FILTER (is_video) AS videos, count(*) FILTER (excluded) AS excluded, count(*) FILTER (exclude_reason LIKE '%favorite%') AS excluded_favorite,
     count(*) FILTER (exclude_reason LIKE '%album%') AS excluded_album, count(*) FILTER (thumb IS NOT NULL AND NOT is_video) AS with_thumb_url, count(*) FILTER (thumb_cached AND NOT is_video) AS thumbs_cached,
     count(*) FILTER (thumb_cached AND NOT embedded AND NOT is_video AND NOT excluded) AS ready_to_embed, count(*) FILTER (embedded AND NOT is_video AND NOT excluded) AS embedded_flag,
-    count(*) FILTER (vec_id % 6 <> 5) AS embeddings_rows, count(*) FILTER (vec_id % 6 <> 5 AND NOT excluded AND NOT is_video) AS usable_for_group, (SELECT count(*) FROM g) AS groups,
+    count(*) FILTER (vectorised) AS embeddings_rows, count(*) FILTER (vectorised AND NOT excluded AND NOT is_video) AS usable_for_group, (SELECT count(*) FROM g) AS groups,
     (SELECT count(*) FROM c WHERE corrupted) AS corrupt_thumbs, (SELECT count(*) FROM t WHERE is_text) AS text_thumbs, 'review' AS next_step FROM x""",
         "g",
         "c",
@@ -445,7 +445,7 @@ def census_report(spark, sf_dir):
 )
 def status_funnel(spark, sf_dir):
     own, _, g, _ = _library(spark, sf_dir)
-    return reports.status_funnel(own, own.where("vec_id % 6 <> 5").select("media_key"), g, fixture.corrupt_flags(own), fixture.text_flags(own))
+    return reports.status_funnel(own, own.where("vectorised").select("media_key"), g, fixture.corrupt_flags(own), fixture.text_flags(own))
 
 
 @query(with_sql("SELECT metric, CAST(value AS VARCHAR) AS value FROM (SELECT count(*) AS total, count(*) FILTER (coalesce(status, 'pending') = 'pending') AS pending, count(*) FILTER (coalesce(status, 'pending') <> 'pending') AS decided FROM g) UNPIVOT (value FOR metric IN (total, pending, decided))", "g"))
@@ -455,15 +455,15 @@ def report_table(spark, sf_dir):
 
 # ---- imports and cascades
 
-_ITEMS = """, old AS (SELECT * FROM x WHERE vec_id % 3 <> 0),
-new AS (SELECT *, vec_id * 2 + 0 AS line_no, false AS again FROM x WHERE vec_id % 2 = 0 UNION ALL SELECT *, vec_id * 2 + 1, true FROM x WHERE vec_id % 10 = 0)"""
+_ITEMS = """, old AS (SELECT * FROM x WHERE known),
+new AS (SELECT *, vec_id * 2 + 0 AS line_no, false AS again FROM x WHERE arriving UNION ALL SELECT *, vec_id * 2 + 1, true FROM x WHERE arriving_again)"""
 
 
 def _items(own: DataFrame) -> DataFrame:
     base = own.select("*", F.lit(None).cast("long").alias("timezone_offset"), F.lit(None).cast("long").alias("creation_timestamp"), F.lit(True).alias("is_owned"), F.lit(None).cast("double").alias("duration"),
         F.lit(None).cast("string").alias("description_short"), F.lit(None).cast("boolean").alias("is_original_quality"))
-    first = base.where("vec_id % 2 = 0").withColumn("line_no", F.col("vec_id") * 2)
-    again = base.where("vec_id % 10 = 0").withColumn("line_no", F.col("vec_id") * 2 + 1).withColumn("is_favorite", ~F.col("is_favorite"))
+    first = base.where("arriving").withColumn("line_no", F.col("vec_id") * 2)
+    again = base.where("arriving_again").withColumn("line_no", F.col("vec_id") * 2 + 1).withColumn("is_favorite", ~F.col("is_favorite"))
     return first.unionByName(again).withColumn("thumb", F.concat(F.lit("new-"), F.coalesce("thumb", F.lit("none"))))
 
 
@@ -485,7 +485,7 @@ def census_upsert(spark, sf_dir):
 
 
 def _items_as_photos(own: DataFrame) -> DataFrame:
-    return own.where("vec_id % 3 <> 0").select("*", F.lit(False).alias("preview_cached"), F.lit(None).cast("long").alias("timezone_offset"), F.lit(None).cast("long").alias("creation_timestamp"), F.lit(True).alias("is_owned"),
+    return own.where("known").select("*", F.lit(False).alias("preview_cached"), F.lit(None).cast("long").alias("timezone_offset"), F.lit(None).cast("long").alias("creation_timestamp"), F.lit(True).alias("is_owned"),
         F.lit(None).cast("double").alias("duration"), F.lit(None).cast("string").alias("description_short"), F.lit(None).cast("boolean").alias("is_original_quality"))
 
 
@@ -500,28 +500,28 @@ SELECT count(*) AS total, count(*) FILTER (is_video) AS videos, count(*) FILTER
 )
 def census_counters(spark, sf_dir):
     own = fixture.photos(spark, sf_dir)
-    return upsert.import_counters(own.where("vec_id % 3 <> 0"), _items(own))
+    return upsert.import_counters(own.where("known"), _items(own))
 
 
 @query(
     with_sql(
-        """SELECT x.media_key, CASE WHEN x.vec_id % 4 < 2 THEN x.vec_id % 3 = 0 ELSE c.corrupted END AS corrupted,
-    CASE WHEN x.vec_id % 4 < 2 THEN CASE WHEN x.vec_id % 3 = 0 AND c.review_status IN ('kept', 'trash', 'skipped') THEN c.review_status ELSE 'pending' END ELSE c.review_status END AS review_status
-    FROM x LEFT JOIN c ON x.media_key = c.media_key WHERE x.vec_id % 4 < 2 OR c.media_key IS NOT NULL""",
+        """SELECT x.media_key, CASE WHEN x.rescanned THEN x.vec_id % 3 = 0 ELSE c.corrupted END AS corrupted,
+    CASE WHEN x.rescanned THEN CASE WHEN x.vec_id % 3 = 0 AND c.review_status IN ('kept', 'trash', 'skipped') THEN c.review_status ELSE 'pending' END ELSE c.review_status END AS review_status
+    FROM x LEFT JOIN c ON x.media_key = c.media_key WHERE x.rescanned OR c.media_key IS NOT NULL""",
         "c",
     )
 )
 def flag_upsert_merge(spark, sf_dir):
     own = fixture.photos(spark, sf_dir)
     flags = fixture.corrupt_flags(own).select("media_key", "corrupted", "review_status")
-    verdicts = own.where("vec_id % 4 < 2").select("media_key", (F.col("vec_id") % 3 == 0).alias("corrupted"))
+    verdicts = own.where("rescanned").select("media_key", (F.col("vec_id") % 3 == 0).alias("corrupted"))
     return upsert.upsert_flags(flags, verdicts, "corrupted", upsert.CORRUPT_FINAL)
 
 
-@query(with_sql("SELECT x.media_key, x.thumb_cached OR x.vec_id % 16 = 4 AS thumb_cached, x.vec_id % 16 = 4 AS repaired FROM x", "x"))
+@query(with_sql("SELECT x.media_key, x.thumb_cached OR x.blob_valid AS thumb_cached, x.blob_valid AS repaired FROM x", "x"))
 def mark_cached(spark, sf_dir):
     own = fixture.photos(spark, sf_dir)
-    valid = own.where("vec_id % 16 = 4").select("media_key")
+    valid = own.where("blob_valid").select("media_key")
     both = upsert.mark_cached(own, valid).select("media_key", "thumb_cached")
     return both.join(upsert.mark_cached(own, valid, repair=True).select("media_key", F.col("thumb_cached").alias("repaired")), "media_key")
 
@@ -539,38 +539,15 @@ def safety_cascade(spark, sf_dir):
     return kept.select("group_id", "size", "proposed_keeper")
 
 
-@query(with_sql("SELECT x.media_key, EXISTS (SELECT 1 FROM u WHERE u.media_key = x.media_key) AS in_album FROM x", "u"))
+@query(with_sql("SELECT x.media_key, EXISTS (SELECT 1 FROM u WHERE u.media_key = x.media_key AND NOT u.restored) AS in_album FROM x", "u"))
 def album_flag(spark, sf_dir):
     from ..sources.census import flag_album_members
 
     own = fixture.photos(spark, sf_dir)
-    return flag_album_members(own, fixture.undo_log(own)).select("media_key", "in_album")
+    return flag_album_members(own, fixture.undo_log(own).where("not restored")).select("media_key", "in_album")
 
 
-# ---- pixels: no SQL form
-
-
-@query()
-def pixel_kernels(spark, sf_dir):
-    """Kernels over deterministic synthetic images, one per photo."""
-    import numpy as np
-    import pandas as pd
-
-    from ..functions import kernels
-
-    def run(batches):
-        for b in batches:
-            rows = []
-            for key, n in zip(b["media_key"], b["vec_id"], strict=True):
-                rng = np.random.default_rng(n)
-                rgb = np.clip(rng.normal(128, 10 + n % 60, (48, 64, 3)), 0, 255).astype(np.uint8)
-                if n % 3 == 0:
-                    rgb[-12:] = 128
-                rows.append({"media_key": key, **{k: float(v) for k, v in kernels.score(rgb).items() if k not in ("width", "height")}, "fill": kernels.trailing_fill(rgb)[0], "lines": kernels.thin_lines(kernels.grey(rgb))[0]})
-            yield pd.DataFrame(rows)
-
-    own = fixture.photos(spark, sf_dir).select("media_key", "vec_id")
-    return own.mapInPandas(run, "media_key string, sharpness double, exposure double, eyes double, smile double, aesthetic double, fill double, lines long")
+# ---- end to end
 
 
 def flagship(spark: SparkSession, sf_dir: str, cfg: EngineConfig = CONFIG) -> DataFrame:
@@ -583,3 +560,7 @@ def flagship(spark: SparkSession, sf_dir: str, cfg: EngineConfig = CONFIG) -> Da
 
 
 QUERIES["pipeline_groups"] = flagship
+
+from . import intake  # noqa: E402  registers its queries here
+
+ORACLES["pipeline_groups"] = intake.FLAGSHIP_SQL

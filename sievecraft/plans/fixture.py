@@ -29,6 +29,12 @@ _PHOTO_COLUMNS = """
     concat('IMG ', CAST(e.vec_id AS STRING), '/ä*.jpg') AS file_name,
     e.vec_id % 4 <> 0 AS thumb_cached,
     e.vec_id % 6 <> 0 AS embedded,
+    e.vec_id % 6 <> 5 AS vectorised,
+    e.vec_id % 3 <> 0 AS known,
+    e.vec_id % 2 = 0 AS arriving,
+    e.vec_id % 10 = 0 AS arriving_again,
+    e.vec_id % 4 < 2 AS rescanned,
+    e.vec_id % 16 = 4 AS blob_valid,
     e.embedding AS vector,
     v.props AS props"""
 
@@ -47,16 +53,16 @@ def with_sql(body: str, *parts: str) -> str:
         "p": PHOTOS_SQL,
         "x": """SELECT *, nullif(concat_ws(',', CASE WHEN is_favorite THEN 'favorite' END, CASE WHEN is_video THEN 'video' END, CASE WHEN is_live_photo THEN 'live_photo' END), '') AS exclude_reason,
             is_favorite OR is_video OR is_live_photo AS excluded FROM p""",
-        "m": f"SELECT {_MEMBER_COLUMNS.replace('STRING', 'VARCHAR').replace('D0', '::DOUBLE')} FROM x WHERE vec_id % 8 <> 0",
+        "m": f"SELECT {_MEMBER_COLUMNS.replace('STRING', 'VARCHAR').replace('D0', '::DOUBLE')} FROM x",
         "g": """SELECT group_id, CAST(count(*) AS INT) AS size, min(media_key) AS proposed_keeper,
             CASE min(vec_id % 60) % 5 WHEN 0 THEN 'pending' WHEN 1 THEN 'accepted' WHEN 2 THEN 'overridden' WHEN 3 THEN 'skipped' END AS status, CAST(min(vec_id % 60) AS BIGINT) AS n FROM m GROUP BY group_id""",
         "d": """SELECT m.group_id, min(g.proposed_keeper) AS keep_media_key, list(m.dedup_key ORDER BY m.media_key) FILTER (m.media_key <> g.proposed_keeper AND (NOT m.is_favorite OR m.vec_id % 120 = 1)) AS trash_dedup_keys,
-            min(g.n) % 10 = 2 AS applied FROM m JOIN g ON m.group_id = g.group_id WHERE g.n % 5 IN (1, 2) GROUP BY m.group_id""",
+            min(g.n) % 10 = 2 AS applied FROM m JOIN g ON m.group_id = g.group_id WHERE g.status IN ('accepted', 'overridden') GROUP BY m.group_id""",
         "c": """SELECT media_key, vec_id % 20 = 3 AS corrupted, CASE WHEN vec_id % 30 = 3 THEN 'trash' WHEN vec_id % 30 = 13 THEN 'kept' WHEN vec_id % 4 = 3 THEN NULL ELSE 'pending' END AS review_status,
             CASE vec_id % 5 WHEN 0 THEN '["truncated_jpeg","decoder_fill"]' WHEN 1 THEN 'not json' WHEN 2 THEN NULL WHEN 3 THEN '[]' ELSE '' END AS reasons, CASE WHEN vec_id % 2 = 0 THEN '128,127,129' END AS fill_color
-            FROM x WHERE vec_id % 10 = 3 OR vec_id % 10 = 4""",
-        "t": "SELECT media_key, vec_id % 3 = 0 AS is_text FROM x WHERE vec_id % 9 = 2",
-        "u": """SELECT vec_id AS id, concat('run-', CAST(vec_id * 7 % 5 AS VARCHAR)) AS run_id, dedup_key, media_key, concat('2024-01-0', CAST(1 + vec_id % 9 AS VARCHAR)) AS trashed_at, vec_id % 4 = 0 AS restored FROM x WHERE vec_id % 3 = 1""",
+            FROM x""",
+        "t": "SELECT media_key, vec_id % 3 = 0 AS is_text FROM x",
+        "u": """SELECT vec_id AS id, concat('run-', CAST(vec_id * 7 % 5 AS VARCHAR)) AS run_id, dedup_key, media_key, concat('2024-01-0', CAST(1 + vec_id % 9 AS VARCHAR)) AS trashed_at, vec_id % 4 = 0 AS restored FROM x""",
     }
     needs = {"x": "p", "m": "x", "g": "m", "d": "g", "c": "x", "t": "x", "u": "x"}
     wanted: list[str] = []
@@ -82,7 +88,7 @@ def photos(spark: SparkSession, sf_dir: str, cfg: EngineConfig = CONFIG) -> Data
 
 
 def members(own: DataFrame) -> DataFrame:
-    return own.where("vec_id % 8 <> 0").selectExpr(*_rejoin([c.strip() for c in _MEMBER_COLUMNS.replace("D0", "D").split(",")]))
+    return own.selectExpr(*_rejoin([c.strip() for c in _MEMBER_COLUMNS.replace("D0", "D").split(",")]))
 
 
 def _rejoin(columns: list[str]) -> list[str]:
@@ -104,7 +110,7 @@ def groups(member_rows: DataFrame) -> DataFrame:
 
 
 def decisions(member_rows: DataFrame, group_rows: DataFrame) -> DataFrame:
-    own = member_rows.join(group_rows.where("n % 5 in (1, 2)").select("group_id", "proposed_keeper", "n"), "group_id")
+    own = member_rows.join(group_rows.where("status in ('accepted', 'overridden')").select("group_id", "proposed_keeper", "n"), "group_id")
     loose = (F.col("media_key") != F.col("proposed_keeper")) & (~F.col("is_favorite") | (F.col("vec_id") % 120 == 1))
     trash = F.transform(F.sort_array(F.collect_list(F.when(loose, F.struct("media_key", "dedup_key")))), lambda x: x["dedup_key"])
     return own.groupBy("group_id").agg(F.min("proposed_keeper").alias("keep_media_key"), trash.alias("trash_dedup_keys"), (F.min("n") % 10 == 2).alias("applied"), F.lit(None).cast("string").alias("applied_at"))
@@ -114,15 +120,15 @@ def corrupt_flags(own: DataFrame) -> DataFrame:
     v = F.col("vec_id")
     status = F.when(v % 30 == 3, "trash").when(v % 30 == 13, "kept").when(v % 4 == 3, None).otherwise("pending")
     reasons = F.when(v % 5 == 0, '["truncated_jpeg","decoder_fill"]').when(v % 5 == 1, "not json").when(v % 5 == 2, None).when(v % 5 == 3, "[]").otherwise("")
-    return own.where("vec_id % 10 in (3, 4)").select("media_key", (v % 20 == 3).alias("corrupted"), status.alias("review_status"), reasons.alias("reasons"), F.when(v % 2 == 0, "128,127,129").alias("fill_color"))
+    return own.select("media_key", (v % 20 == 3).alias("corrupted"), status.alias("review_status"), reasons.alias("reasons"), F.when(v % 2 == 0, "128,127,129").alias("fill_color"))
 
 
 def text_flags(own: DataFrame) -> DataFrame:
-    return own.where("vec_id % 9 = 2").select("media_key", (F.col("vec_id") % 3 == 0).alias("is_text"))
+    return own.select("media_key", (F.col("vec_id") % 3 == 0).alias("is_text"))
 
 
 def undo_log(own: DataFrame) -> DataFrame:
     v = F.col("vec_id")
-    return own.where("vec_id % 3 = 1").select(
+    return own.select(
         v.alias("id"), F.concat(F.lit("run-"), (v * 7 % 5).cast("string")).alias("run_id"), "dedup_key", "media_key", F.concat(F.lit("2024-01-0"), (1 + v % 9).cast("string")).alias("trashed_at"), (v % 4 == 0).alias("restored")
     )

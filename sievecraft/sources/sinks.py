@@ -47,8 +47,16 @@ def plan_moves(files: DataFrame, root: str, to: str, taken: DataFrame | None = N
     return rows.withColumn("k", free).select("path", F.when(F.col("k") == 0, F.col("want")).otherwise(F.concat(stem, F.lit("_"), F.col("k"), suffix)).alias("dest"))
 
 
+def mounted(path: str) -> str:
+    """A folder as executors see it in their own file system; files of other schemes can't be written there."""
+    bare = path.removeprefix("file://") if path.startswith("file://") else path.removeprefix("file:")
+    if "://" in bare or (":" in bare.split("/", 1)[0]):
+        raise ValueError(f"{path}: image files are written through the file system, so this has to be a folder that all executors mount")
+    return bare
+
+
 def relocate(moves: DataFrame, copy: bool = False) -> DataFrame:
-    """Move or copy local files; (path, dest, done). The folders must be ones that executors share."""
+    """Move or copy files; (path, dest, done). The folders must be ones that all executors mount."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         local = lambda p: p.removeprefix("file:").replace("///", "/", 1) if p.startswith("file:") else p

@@ -28,10 +28,11 @@ def jpeg(spark, rgb: np.ndarray, folder: Path) -> bytes:
 
 
 def content() -> np.ndarray:
-    x = np.full((192, 256, 3), (40, 90, 170), dtype=np.uint8)
-    x[::6] = (200, 180, 90)
-    x[12:90, 12:90] = (220, 60, 60)
-    return x
+    """Diagonal stripes over a ramp, and a ring."""
+    y, x = np.indices((192, 256))
+    stripe, ring = ((x + y) // 7 % 3 == 0)[..., None], (abs(np.hypot(x - 150, y - 70) - 40) < 6)[..., None]
+    ramp = np.stack([40 + x // 4, 150 - y // 2, 90 + (x + y) // 8], axis=-1)
+    return np.where(ring, (230, 210, 70), np.where(stripe, (180, 60, 75), ramp)).astype(np.uint8)
 
 
 def sky() -> np.ndarray:

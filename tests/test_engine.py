@@ -62,7 +62,7 @@ def test_import_safety_and_reports(engine, tmp_path):
     assert {r["metric"]: r["value"] for r in cli.run(engine, "status").collect()}["next_step"] == "fetch"
 
 
-@pytest.mark.parametrize("bad", ["{broken", json.dumps({"media_key": "x"}), json.dumps({"media_key": "x", "dedup_key": "d", "res_width": "wide"})])
+@pytest.mark.parametrize("bad", ["{broken", json.dumps({"media_key": "x"}), json.dumps({"media_key": "x", "dedup_key": "d", "res_width": "wide"}), json.dumps({"media_key": "x", "dedup_key": "d", "timestamp": 1.5})])
 def test_one_bad_line_fails_the_import(engine, tmp_path, bad):
     (tmp_path / "bad.jsonl").write_text("\n".join([line("ok"), bad]))
     with pytest.raises(Exception):  # noqa: B017, PT011  Spark's kind of error depends on the line
@@ -87,8 +87,8 @@ def test_from_blobs_to_restore(spark, engine, tmp_path):
     engine.import_census(f"file://{tmp_path}/c.jsonl")
     shapes = [images.content(), images.content(), images.sky(), images.page()]
     put(spark, tmp_path, {f"mk{k}": images.png(x) for k, x in enumerate(shapes, start=1)})
-    assert engine.import_zips(f"file://{tmp_path}/zips") == 4
-    assert engine.import_zips(f"file://{tmp_path}/zips") == 0
+    assert engine.import_zips(f"file://{tmp_path}/zips") == {"zips": 1, "ok": 4, "skipped": 0, "unknown_or_bad": 1}
+    assert engine.import_zips(f"file://{tmp_path}/zips") == {"zips": 1, "ok": 0, "skipped": 4, "unknown_or_bad": 1}
     photos = engine.table("photos")
     assert tuple(thumb_sample(photos, files.cached_blobs(spark, photos, engine.blobs("thumbs"))).first()) == (4, 4)
 
@@ -253,3 +253,76 @@ def test_config_from_environment(monkeypatch):
     monkeypatch.setenv("SIEVECRAFT_EXCLUDE_ALBUM_MEMBERS", "true")
     cfg = EngineConfig.from_env()
     assert cfg.topk == 7 and cfg.exclude_album_members and abs(sum(cfg.weights.values()) - 1) < 1e-9
+
+
+def test_values_written_as_strings(engine, tmp_path):
+    (tmp_path / "s.jsonl").write_text(json.dumps({"media_key": "a", "dedup_key": "d", "timestamp": "12", "res_width": 3.0, "is_favorite": "yes", "duration": "2.5"}))
+    engine.import_census(f"file://{tmp_path}/s.jsonl")
+    r = engine.table("photos").first()
+    assert (r["timestamp"], r["res_width"], r["is_favorite"], r["duration"], r["is_video"]) == (12, 3, True, 2.5, True)
+
+
+def test_a_commit_that_stops_changes_nothing(engine, spark, monkeypatch):
+    """Stopped between any two steps: before the manifest, and between its writing and its renaming."""
+    one = spark.createDataFrame([("a", "1")], "key string, value string")
+    engine.store.commit(meta=one)
+    real = engine.store._publish
+
+    def stop(written):
+        raise KeyboardInterrupt
+
+    monkeypatch.setattr(engine.store, "_publish", stop)
+    with pytest.raises(KeyboardInterrupt):
+        engine.store.commit(meta=one.limit(0), undo_log=engine.table("undo_log"))
+    monkeypatch.setattr(engine.store, "_publish", real)
+    at = engine.store.root.removeprefix("file://") + "/_manifests"
+    (__import__("pathlib").Path(at) / ".half.partial").write_text("{")
+    assert [tuple(r) for r in engine.table("meta").collect()] == [("a", "1")] and engine.store.current("undo_log") is None
+    engine.store.commit(meta=one.limit(0))
+    assert engine.table("meta").count() == 0 and engine.store.vacuum("meta") == 2
+
+
+def test_blobs_need_a_mounted_folder(spark, tmp_path):
+    e = Engine(spark, "hdfs://host/library", EngineConfig(), lambda: NOW)
+    with pytest.raises(ValueError, match="mount"):
+        e.write_blobs(spark.createDataFrame([("a", b"x")], "media_key string, content binary"))
+    assert Engine(spark, "hdfs://host/library", blob_root=f"file://{tmp_path}").blobs("thumbs") == f"file://{tmp_path}/blobs/thumbs"
+
+
+WEBP = b"RIFF\x1a\0\0\0WEBPVP8L\x0d\0\0\0\x2f\0\0\0\x10\x07\x10\x11\x11\x88\x88\xfe\x07\0"
+
+
+def test_webp_is_not_corrupt(spark, engine, tmp_path):
+    """Without a decoder it isn't judged; with one it is an image like others."""
+    (tmp_path / "tree").mkdir()
+    (tmp_path / "tree" / "a.webp").write_bytes(WEBP)
+    engine.make_decoder = lambda: None
+    r = engine.scan_tree(f"file://{tmp_path}/tree").collect()
+    assert [(x["corrupted"], list(x["reasons"]), x["error"]) for x in r] == [(None, [], "format not supported")]
+    pixels = images.content()
+    engine.make_decoder = lambda: lambda data: pixels
+    r = engine.scan_tree(f"file://{tmp_path}/tree").collect()
+    assert [(x["corrupted"], x["width"]) for x in r] == [(False, 256)]
+    assert not engine.scan_tree(f"file://{tmp_path}/tree", "text").first()["is_text"]
+
+
+def test_zip_entries_match_bare_names(spark, engine, tmp_path):
+    (tmp_path / "c.jsonl").write_text("\n".join([line("a_b"), line("vid", duration=3)]))
+    engine.import_census(f"file://{tmp_path}/c.jsonl")
+    (tmp_path / "zips").mkdir()
+    with zipfile.ZipFile(tmp_path / "zips" / "z.zip", "w") as z:
+        for name in ("in/a_b.png", "vid.png", "a_b.gif", "other.png"):
+            z.writestr(name, images.png(images.sky()))
+    assert engine.import_zips(f"file://{tmp_path}/zips") == {"zips": 1, "ok": 1, "skipped": 0, "unknown_or_bad": 2}
+
+
+def test_status_asks_for_repair(engine, tmp_path):
+    (tmp_path / "c.jsonl").write_text("\n".join([line("a"), line("b")]))
+    engine.import_census(f"file://{tmp_path}/c.jsonl")
+    engine.store.commit(photos=engine.table("photos").withColumn("thumb_cached", __import__("pyspark").sql.functions.lit(True)))
+    assert engine.status().first()["next_step"] == "repair"
+
+
+def test_command_line_factories(engine):
+    assert cli.factory("json:dumps") is json.dumps and {"embed", "fetch", "review"} <= set(cli.COMMANDS)
+    assert set(a for _, a in cli.OPTIONAL) <= {x for names, _ in cli.COMMANDS.values() for x in names}
