@@ -66,3 +66,16 @@ def test_run(spark, library):
 def test_every_operator_has_a_query():
     assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 11))
     assert set(ORACLES) <= set(QUERIES)
+
+
+def test_odd_rows_clashing_columns_and_empty_tables(spark, library, odd, empty):
+    """Nulls, repeated rows, ties and very long texts pass all stages; each but the last returns its input's columns."""
+    for table in (odd, empty):
+        docs = table
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, library[0])
+            assert docs.columns == table.columns
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, library[0]).columns == ["doc_id", "size", "source_size", "target", "taken"]
+        alone = corpus_pipeline.STAGES[-1][1](spark, table, library[0]).collect()
+        assert all(0 < r["taken"] <= 3 * r["size"] for r in alone) and bool(alone) == (table is odd)
+        assert docs.count() == 0  # every odd text is too short or repeats itself
