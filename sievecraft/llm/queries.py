@@ -54,11 +54,9 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, taken. The table of sources is as long as there are sources, whose number the operator checks."""
-    own = mixing.mix(docs.select("doc_id", "text", "source"))
-    of = own.sources.select(F.col("source").alias("_s"), "source_size", "target")
-    rows = own.rows.join(F.broadcast(of), F.get("sources", F.lit(0)).eqNullSafe(F.col("_s")))
-    return rows.select("doc_id", "size", "source_size", "target", "taken")
+    """doc_id, size, source_size, target, taken. Each document has one source."""
+    rows = mixing.mix(docs.select("doc_id", "text", "source")).rows
+    return rows.select("doc_id", "size", F.get("source_sizes", F.lit(0)).alias("source_size"), F.get("targets", F.lit(0)).alias("target"), "taken")
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@ from __future__ import annotations
 import itertools
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from sievecraft.llm import mixing
@@ -39,11 +40,69 @@ def test_flow_is_a_cheapest_maximum():
         assert (-sum(given), cost) == cheapest(patterns, demand, 2)
 
 
-def test_targets_stop_and_share_again():
-    got = mixing.targets({"a": 10, "b": 100, "c": 100, None: 90}, 300)
+def plain_targets(sizes, total, weights=mixing.WEIGHTS, epochs=3):
+    order = sorted(sizes, key=lambda s: (s is None, [ord(c) for c in s or ""]))
+    weight = {s: weights[k % len(weights)] for k, s in enumerate(order)}
+    full = set()
+    while len(full) < len(sizes):
+        unit = (total - sum(epochs * sizes[s] for s in full)) / sum(weight[s] for s in sizes if s not in full)
+        more = {s for s in sizes if s not in full and weight[s] * unit > epochs * sizes[s]}
+        if not more:
+            break
+        full |= more
+    return {s: float(epochs * sizes[s]) if s in full else weight[s] * unit for s in sizes}
+
+
+def targets_of(spark, sizes, total):
+    rows = mixing.weighted(spark.createDataFrame(list(sizes.items()), "source string, source_size long"))
+    return {r["source"]: r["target"] for r in mixing.targets(rows, total).collect()}
+
+
+def test_targets_stop_and_share_again(spark):
+    got = targets_of(spark, {"a": 10, "b": 100, "c": 100, None: 90}, 300)
     assert got["a"] == 30 and abs(sum(got.values()) - 300) < 1e-9
     assert [round(got[k] / got["b"], 6) for k in ("b", "c", None)] == [1, 0.5, 2.5]
-    assert mixing.targets({}, 0) == {} and mixing.targets({"a": 0}, 0) == {"a": 0.0}
+    assert targets_of(spark, {}, 0) == {} and targets_of(spark, {"a": 0}, 0) == {"a": 0.0}
+
+
+def test_targets_and_order_over_ranges(spark, monkeypatch):
+    """Weights follow the whole order of code points, also where it is dealt to several ranges."""
+    monkeypatch.setattr(mixing, "RANGE", 7)
+    rng = random.Random(8)
+    sizes = {"".join(rng.choices("aZ\U0001f600\uffee\u00e4", k=4)): int(10 ** rng.uniform(0, 4)) for _ in range(60)} | {None: 5, "": 9}
+    total = sum(sizes.values())
+    got, want = targets_of(spark, sizes, total), plain_targets(sizes, total)
+    assert got.keys() == want.keys() and all(abs(got[s] - want[s]) < 1e-6 for s in want)
+
+
+def test_many_sources_match_the_flow(documents, monkeypatch):
+    """The closed form of single sources, and the plan without a broadcast, give what the driver's flow gives."""
+    rng = random.Random(3)
+    docs = documents([(k, " ".join(["w"] * rng.randrange(0, 30)), "en", "hot" if k % 3 else f"s{rng.randrange(40)}") for k in range(900)])
+    whole = sorted(map(tuple, mixed(docs).collect()))
+    monkeypatch.setattr(mixing, "HOT", 5)
+    monkeypatch.setattr(mixing, "CUT_ROWS", 4)
+    got = mixed(docs).join(docs.select("doc_id", "source"), "doc_id").collect()
+    assert sorted((r["doc_id"], r["size"], r["source_size"], r["target"]) for r in got) == [r[:4] for r in whole]
+    sizes = {}
+    for r in got:
+        sizes[r["source"]] = r["source_size"]
+    want = plain_targets(sizes, sum(sizes.values()))
+    given = dict(zip(sizes, mixing.flow([((s,), n) for s, n in sizes.items()], want), strict=True))
+    for s in sizes:
+        mine = [r for r in got if r["source"] == s]
+        least = min((r["size"] for r in mine if r["size"]), default=0)
+        assert abs(sum(r["taken"] for r in mine) - given[s]) <= max(least, 30)
+
+
+def test_null_ids_share_a_fate_and_too_many_patterns_raise(documents, monkeypatch):
+    docs = documents([(None, "w w", "en", "a") for _ in range(700)] + [(k, "w", "en", "b") for k in range(50)])
+    got = [(r["doc_id"], r["taken"]) for r in mixed(docs).collect()]
+    assert len(got) == 750 and len({x for i, x in got if i is None}) == 1
+    monkeypatch.setattr(mixing, "MAX_PATTERNS", 1)
+    assert mixed(docs).count() == 750
+    with pytest.raises(ValueError, match="overlapping"):
+        mixing.mix(docs, sources=F.array(F.lit("x"), F.col("source")))
 
 
 def table(documents, n=4000):
