@@ -34,13 +34,28 @@ def test_presence_is_a_set_of_ngrams():
 
 
 def test_scores_are_the_kernel_expansion():
-    """Weights per n-gram give what landmark kernels times Nyström weights give."""
+    """Weights per n-gram give what kernel ridge regression on whole texts gives, by its definition.
+
+    With every text a landmark the map loses nothing, so the regression is that of the kernel: the margins minimise the
+    weighted squared error and the ridge on the norm, which the solution in the span of the texts does.
+    """
     rng = np.random.default_rng(0)
-    rows = [np.unique(rng.integers(0, li.BUCKETS, 200)) for _ in range(12)]
-    langs = ["a", "b"] * 6
-    model = li.fit(rows, langs, landmarks=12, ridge=1e-9)
-    margins = [model.weights[r].sum(0) / np.sqrt(len(r)) + model.bias for r in rows]
-    assert [model.languages[int(m.argmax())] for m in margins] == langs
+    rows = [np.unique(rng.integers(0, li.BUCKETS // 500, 150)) * 500 for _ in range(15)]
+    new = [np.unique(rng.integers(0, li.BUCKETS // 500, 90)) * 500 for _ in range(5)]
+    langs = [["a", "b", "c"][k % 3] for k in range(13)] + ["a", "a"]
+    model = li.fit(rows, langs, landmarks=15)
+    kernel = lambda p, q: len(set(p) & set(q)) / np.sqrt(len(p) * len(q))
+    whole = np.array([[kernel(p, q) for q in rows] for p in rows])
+    weight = np.array([len(langs) / (3 * langs.count(x)) for x in langs])
+    y = np.array([[1.0 if x == m else -1.0 for m in "abc"] for x in langs])
+    # Stationary point in (alpha, bias) of sum w (K alpha + b - y)^2 + ridge * n / 10 * alpha' K alpha.
+    n, ridge = len(rows), li.RIDGE * len(rows) / 10
+    system = np.block([[weight[:, None] * whole + ridge * np.eye(n), weight[:, None]], [weight[None, :] @ whole, np.array([[weight.sum()]])]])
+    solved = np.linalg.solve(system, np.vstack([weight[:, None] * y, (weight @ y)[None, :]]))
+    assert model.languages == ["a", "b", "c"]
+    for r in rows + new:
+        want = np.array([kernel(r, q) for q in rows]) @ solved[:-1] + solved[-1]
+        assert np.allclose(model.weights[r].sum(0, dtype=np.float64) / np.sqrt(len(r)) + model.bias, want, atol=1e-3)
 
 
 def test_batches_agree_with_single_texts(documents):
