@@ -19,7 +19,7 @@ COMMANDS = {
     "device": ([], "what the session runs on"),
     "census-import": (["path"], "upsert a catalogue file"),
     "census-report": ([], "counts of the catalogue"),
-    "embed": (["encoder"], "embed pending photos; the encoder is a factory, module:name"),
+    "embed": (["encoder", "limit"], "embed pending photos, or the oldest of them; the encoder is a factory, module:name"),
     "fetch": (["kind", "fetcher"], "fetch missing thumbs, previews or full images; the fetcher is a factory, module:name"),
     "fetch-zips": (["folder"], "import thumbs from zips"),
     "fetch-scan": ([], "mark thumbs that are there"),
@@ -43,7 +43,7 @@ COMMANDS = {
 }
 
 
-OPTIONAL = {("apply-export-restore", "run_id"), ("review", "keep")}
+OPTIONAL = {("embed", "limit"), ("apply-export-restore", "run_id"), ("review", "keep")}
 
 
 def factory(name: str):
@@ -69,7 +69,7 @@ def run(engine: Engine, command: str, *args: str):
         "device": lambda: {"master": engine.spark.sparkContext.master, "cores": engine.spark.sparkContext.defaultParallelism, "accelerators": dict(engine.spark.sparkContext.resources)},
         "census-import": engine.import_census,
         "census-report": lambda: as_table(engine.census_report()),
-        "embed": lambda encoder: engine.embed(factory(encoder)),
+        "embed": lambda encoder, limit=None: engine.embed(factory(encoder), int(limit) if limit else None),
         "fetch": lambda kind, fetcher: engine.fetch(factory(fetcher), kind, only_group_members=kind != "thumbs"),
         "fetch-zips": engine.import_zips,
         "fetch-scan": engine.scan_thumbs,

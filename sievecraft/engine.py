@@ -133,10 +133,20 @@ class Engine:
         self.store.commit(photos=photos, groups=groups, group_members=members, decisions=decisions)
         return counts
 
-    def embed(self, make_encoder: Callable[[], embed.Encoder]) -> int:
-        """Embed pending photos. A model is plugged in; a rerun resumes."""
-        todo = embed.pending(self.table("photos"), self.table("embeddings")).select("media_key")
-        new = embed.embed(self.images("thumbs").join(todo, "media_key", "left_semi"), make_encoder, self.cfg)
+    def embed(self, make_encoder: Callable[[], embed.Encoder], limit: int | None = None) -> int:
+        """Embed pending photos, or the ``limit`` oldest of them. A model is plugged in; a rerun resumes.
+
+        Raises InvalidThumbs, before a model is made, if half of the 50 oldest have no image behind them.
+        """
+        todo = embed.pending(self.table("photos"), self.table("embeddings"))
+        if limit is not None:
+            todo = embed.first_pending(todo, limit)
+        some = embed.first_pending(todo)
+        bad = embed.bad_thumbs(some, files.cached_blobs(self.spark, some, self.blobs("thumbs"))).orderBy("media_key").collect()
+        if len(bad) > embed.MOST_BAD:
+            named = ", ".join(f"{r['media_key']}: {r['found']}" for r in bad[:5])
+            raise embed.InvalidThumbs(f"{len(bad)} of {embed.SAMPLE} sampled thumbs are not images ({named}); clear and fetch them anew, then embed")
+        new = embed.embed(self.images("thumbs").join(todo.select("media_key"), "media_key", "left_semi"), make_encoder, self.cfg)
         self.store.commit(embeddings=upsert.upsert_vectors(self.table("embeddings"), new))
         done = self.table("embeddings").select(F.col("media_key").alias("_k"))
         photos = self.table("photos").join(done, F.col("media_key") == F.col("_k"), "left").withColumn("embedded", F.col("_k").isNotNull()).drop("_k")

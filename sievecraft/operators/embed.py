@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
+from ..functions.image_bytes import describe_head
 from ..sources.files import to_rgb
 from .reports import ready_to_embed
 
@@ -22,6 +23,26 @@ def pending(photos: DataFrame, embeddings: DataFrame) -> DataFrame:
     return photos.where(ready_to_embed()).join(embeddings.select("media_key"), "media_key", "left_anti")
 
 
+#: Pending photos whose files are looked at before a model is made, and how many of them may be no images.
+SAMPLE, MOST_BAD = 50, 24
+
+
+class InvalidThumbs(ValueError):
+    """Too many of the first pending photos have no image behind them: fetching them anew comes before embedding."""
+
+
+def first_pending(todo: DataFrame, n: int = SAMPLE) -> DataFrame:
+    """The ``n`` oldest pending photos; those without a time come first, ties go by key."""
+    return todo.orderBy(F.col("timestamp").asc_nulls_first(), "media_key").limit(n)
+
+
+def bad_thumbs(some: DataFrame, blobs: DataFrame) -> DataFrame:
+    """(media_key, found) of the given photos whose file isn't an image: what it is instead, or "missing"."""
+    seen = blobs.select(F.col("media_key").alias("_k"), describe_head(F.col("content")).alias("found"))
+    joined = some.join(seen, F.col("media_key") == F.col("_k"), "left")
+    return joined.select("media_key", F.coalesce("found", F.lit("missing")).alias("found")).where("found != 'image'")
+
+
 def encode(batch: list[np.ndarray], encoder: Encoder) -> np.ndarray:
     """Unit vectors; a batch that doesn't fit into memory is halved."""
     try:

@@ -84,6 +84,17 @@ def thumb_check(spark, sf_dir):
     return reports.thumb_sample(own, own.select("media_key", content.alias("content")))
 
 
+@query(with_sql("""SELECT media_key, CASE vec_id % 4 WHEN 0 THEN 'missing' WHEN 1 THEN 'html' WHEN 2 THEN 'empty' END AS found
+    FROM (SELECT media_key, vec_id FROM x WHERE thumb_cached AND NOT embedded AND NOT is_video AND NOT excluded ORDER BY timestamp NULLS FIRST, media_key LIMIT 50) WHERE vec_id % 4 <> 3""", "x"))
+def embed_sample(spark, sf_dir):
+    """What is wrong with the oldest pending thumbs, before a model is made: the sample is the feature."""
+    own = fixture.photos(spark, sf_dir)
+    v = F.col("vec_id")
+    content = F.when(v % 4 == 1, F.lit("<html>sign in").cast("binary")).when(v % 4 == 2, F.lit("").cast("binary")).otherwise(F.unhex(F.lit("FFD8FF0001020304050607080900")))
+    blobs = own.where(v % 4 != 0).select("media_key", content.alias("content"))
+    return embed.bad_thumbs(embed.first_pending(embed.pending(own, own.where("embedded"))), blobs)
+
+
 # ---- sinks and the store
 
 

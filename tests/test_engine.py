@@ -9,6 +9,7 @@ from dataclasses import replace
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import images
 from sievecraft import cli
@@ -82,6 +83,27 @@ def put(spark, tmp_path, pictures):
         z.writestr("mk9.png", images.png(images.sky()))
 
 
+def test_embedding_stops_where_thumbs_are_no_images(spark, engine, tmp_path):
+    (tmp_path / "c.jsonl").write_text("\n".join(line(f"mk{k:02}", timestamp=9000 - k) for k in range(40)))
+    engine.import_census(f"file://{tmp_path}/c.jsonl")
+    engine.write_blobs(spark.createDataFrame([(f"mk{k:02}", bytearray(b"<html>please sign in")) for k in range(10)] + [(f"mk{k:02}", bytearray(images.png(images.sky()))) for k in range(20, 40)], "media_key string, content binary")).collect()
+    engine.store.commit(photos=engine.table("photos").withColumn("thumb_cached", F.col("media_key") < "mk28"))
+
+    def make_encoder():
+        return lambda batch: np.ones((len(batch), 4))
+
+    pending = embed.first_pending(embed.pending(engine.table("photos"), engine.table("embeddings")), 3)
+    assert [r["media_key"] for r in pending.collect()] == ["mk27", "mk26", "mk25"]
+    assert engine.embed(make_encoder, limit=3) == 3
+    engine.store.commit(photos=engine.table("photos").withColumn("thumb_cached", F.col("media_key") < "mk26"))
+    assert engine.embed(make_encoder) == 8  # 20 of the 25 that are left are bad
+    engine.store.commit(photos=engine.table("photos").withColumn("thumb_cached", F.lit(True)), embeddings=engine.table("embeddings").limit(0))
+    engine.write_blobs(spark.createDataFrame([(f"mk{k:02}", bytearray(b"{}")) for k in range(32, 40)], "media_key string, content binary")).collect()
+    with pytest.raises(embed.InvalidThumbs, match="28 of 50 .*mk00: html"):
+        engine.embed(make_encoder)
+    assert engine.table("embeddings").count() == 0
+
+
 def test_from_blobs_to_restore(spark, engine, tmp_path):
     (tmp_path / "c.jsonl").write_text("\n".join(line(f"mk{k}", timestamp=5000 + k, space_taken=1 << 20) for k in range(10)))
     engine.import_census(f"file://{tmp_path}/c.jsonl")
